@@ -10,6 +10,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -90,7 +91,7 @@ def text_slices(texts: pa.Array, most_bytes: int = 4 << 20) -> Iterator[tuple[in
     """Consecutive ranges of rows of about most_bytes of text each (a longer single text is a range of its own)."""
     if len(texts) == 0:
         return
-    lengths = np.asarray(pa.compute.fill_null(pa.compute.binary_length(texts), 0), dtype=np.int64)
+    lengths = np.asarray(pc.fill_null(pc.binary_length(texts), 0), dtype=np.int64)
     first, total = 0, 0
     for i, n in enumerate(lengths.tolist()):
         if total and total + n > most_bytes:
@@ -102,7 +103,7 @@ def text_slices(texts: pa.Array, most_bytes: int = 4 << 20) -> Iterator[tuple[in
 
 def text_bytes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The UTF-8 bytes of all texts in a row and the len + 1 borders between them; null is empty."""
-    texts = pa.compute.fill_null(texts.cast(pa.large_string()), "")
+    texts = pc.fill_null(texts.cast(pa.large_string()), "")
     if isinstance(texts, pa.ChunkedArray):
         texts = texts.combine_chunks()
     offsets = np.frombuffer(texts.buffers()[1], dtype=np.int64)[texts.offset : texts.offset + len(texts) + 1]

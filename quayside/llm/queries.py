@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from quayside.llm import mixing, packing, sharding, simhash
+from quayside.llm import langid, mixing, packing, quality, sharding, simhash
 from quayside.llm.common import table
 
 
@@ -19,6 +20,19 @@ def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(table(spark, sf_dir, "documents"), [1.0] * 40)
 
 
+def op6_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = langid.train(docs.filter(~langid.held_out()))
+    return langid.predict(docs.withColumn("held_out", langid.held_out()), model, ["doc_id", "held_out"])
+
+
+def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = quality.train(docs, table(spark, sf_dir, "labels"))
+    scored = quality.score(docs.withColumn("held_out", langid.held_out()), model, ["doc_id", "held_out"])
+    return scored.withColumn("predicted", (F.col("score") >= quality.THRESHOLD).cast("int"))
+
+
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
     return found.select("doc_id", simhash.hex_digits().alias("fingerprint"), simhash.id_of("component").alias("component_id"))
@@ -35,7 +49,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_mixing": op1_mixing, "op2_sharding": op2_sharding, "op8_simhash": op8_simhash, "op10_packing": op10_packing}
+    return {"op1_mixing": op1_mixing, "op2_sharding": op2_sharding, "op6_langid": op6_langid, "op7_quality": op7_quality, "op8_simhash": op8_simhash, "op10_packing": op10_packing}
 
 
 def oracle_sql() -> dict[str, str]:
