@@ -225,6 +225,6 @@ def mix_stage(docs: DataFrame, weights: tuple[float, ...] = (1, 2, 3), limit: fl
     on = (F.col("_o") == F.col("_ord")) & (F.col("_h") == F.col("_hash")) & F.col("source").cast("string").eqNullSafe(F.col("_source"))
     whole, rest = F.expr("_taken div _size"), F.expr("_taken % _size")
     out = keyed.join(took, on).withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), whole + (rest > 0).cast("long"))))
-    head = F.regexp_extract("text", F.concat(F.lit(r"^([\x20\x09-\x0D]*(?:[^\x20\x09-\x0D]+[\x20\x09-\x0D]*){"), rest.cast("string"), F.lit("})")), 1)
-    text = F.when(F.col("_copy") > whole, F.rtrim(head)).otherwise(F.col("text"))
+    words = F.regexp_extract_all("text", F.lit(r"[\x20\x09-\x0D]*" + WORD), F.lit(0))
+    text = F.when(F.col("_copy") > whole, F.array_join(F.slice(words, 1, rest.cast("int")), "")).otherwise(F.col("text"))
     return out.withColumn("text", text).withColumn("n_chars", F.length("text").cast(dict(docs.dtypes).get("n_chars", "long"))).select(*docs.columns)

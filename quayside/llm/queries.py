@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quayside.llm import langid, mixing, packing, quality, sharding, simhash
+from quayside.llm import audio, langid, mixing, packing, pii, quality, sharding, simhash
 from quayside.llm.common import table
 
 
@@ -20,6 +20,16 @@ def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(table(spark, sf_dir, "documents"), [1.0] * 40)
 
 
+def op3_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = audio.stored(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", F.size("segments").alias("n_segments"))
+
+
+def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return pii.pseudonymized(docs, count="n_replaced")
+
+
 def op6_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = langid.train(docs.filter(~langid.held_out()))
@@ -49,7 +59,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_mixing": op1_mixing, "op2_sharding": op2_sharding, "op6_langid": op6_langid, "op7_quality": op7_quality, "op8_simhash": op8_simhash, "op10_packing": op10_packing}
+    return {"op1_mixing": op1_mixing, "op2_sharding": op2_sharding, "op3_audio": op3_audio, "op4_pii": op4_pii, "op6_langid": op6_langid, "op7_quality": op7_quality, "op8_simhash": op8_simhash, "op10_packing": op10_packing}
 
 
 def oracle_sql() -> dict[str, str]:
