@@ -15,7 +15,9 @@ are documents of their own. An empty table gives an empty result.
 from __future__ import annotations
 
 import os
+import re
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -23,18 +25,34 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quayside.llm.common import order_id, partitions_for, store
+from quayside.llm.common import _SPACE, order_id, partitions_for, store, text_bytes, text_slices, word_spans
 
 #: Words a worker remembers the ids of; beyond it, it forgets all and begins anew.
 CACHED = 600_000
 BITS, DIMS, BUCKETS = 16, 3, 256
 
 
+#: Words of the fast path: letters whose composed lower-case form is themselves, then signs that no contraction starts with.
+_SIGNS = "!\"#$%&()*+,-./:;=?@[\\]^_`{|}~"
+_LETTERS = re.compile("[a-zß-öø-ÿ]*")
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[65:91] += 32
+_PROBES = ["ab", "the", "übung", "éa", "ß", "ÿ", "a.", "the,", "été!!", "x&&&", "%", "|", "***", "$$$", "a-", '"', "re", "ve.", "s", "naïve?!", "zz_", "q(", "ll", "d", "çñ;"]
+
+
+def _byte_signs() -> dict[int, str]:
+    """The printable character for each byte in byte-level vocabularies: printable Latin-1 stands for itself, the others follow from 256 on."""
+    own = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = iter(range(256, 512))
+    return {b: chr(b) if b in own else chr(next(rest)) for b in range(256)}
+
+
 class WordTokenizer:
     """The ids of a tokenizer that never joins what white space parts, word by word, each new word encoded once.
 
     Exact: runs of the six ASCII spaces part words, which the tokenizer's own splitting never bridges. Capital A-Z
-    are lowered first only if the text can hold no special token's string."""
+    are lowered first only if the text can hold no special token's string. Simple words go to the tokenizer's model
+    piece by piece (letters, signs), if that gives what the whole tokenizer gives for the probes; others go through all of it."""
 
     def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
@@ -42,43 +60,87 @@ class WordTokenizer:
 
         self.inner = Tokenizer.from_file(path)
         self.kind = np.uint16 if self.inner.get_vocab_size(True) <= 1 << 16 else np.uint32
+        self.code = "H" if self.kind is np.uint16 else "I"
         self.lowers = self.inner.normalizer is not None and self.inner.normalizer.normalize_str("A") == "a"
         self.known: dict[bytes, bytes] = {}
+        self.pieces: dict[str, bytes] = {"": b""}
+        self.signs = _byte_signs()
+        self.fast = True
+        try:
+            self.fast = all(self._simple(w) == np.asarray(self.inner.encode(w, add_special_tokens=False).ids, self.kind).tobytes() for w in _PROBES)
+        except Exception:  # a model without byte-level pieces
+            self.fast = False
+
+    def _piece(self, piece: str) -> bytes:
+        ids = self.pieces.get(piece)
+        if ids is None:
+            if len(self.pieces) > CACHED:
+                self.pieces = {"": b""}
+            plain = piece if piece.isascii() else piece.encode().decode("latin-1").translate(self.signs)
+            ids = self.pieces[piece] = array(self.code, [t.id for t in self.inner.model.tokenize(plain)]).tobytes()
+        return ids
+
+    def _simple(self, word: str) -> bytes | None:
+        if not self.fast:
+            return None
+        letters = word.rstrip(_SIGNS)
+        if not (letters.isascii() and letters.islower() and letters.isalpha() or _LETTERS.fullmatch(letters)):
+            return None
+        return self._piece(letters) + self._piece(word[len(letters) :])
 
     def _learn(self, words: list[bytes]) -> None:
         if len(self.known) + len(words) > CACHED:
             self.known.clear()
-        for at in range(0, len(words), 20_000):
-            part = [w.decode() for w in words[at : at + 20_000]]
-            begins = np.cumsum([0] + [len(w) + 1 for w in part[:-1]])
-            enc = self.inner.encode(" ".join(part), add_special_tokens=False)
+        hard = []
+        for w in words:
+            text = w.decode()
+            ids = self._simple(text)
+            if ids is None:
+                hard.append((w, text))
+            else:
+                self.known[w] = ids
+        for at in range(0, len(hard), 20_000):
+            part = hard[at : at + 20_000]
+            begins = np.cumsum([0] + [len(text) + 1 for _, text in part[:-1]])
+            enc = self.inner.encode(" ".join(text for _, text in part), add_special_tokens=False)
             ids = np.asarray(enc.ids, self.kind)
             first = np.fromiter((o[0] for o in enc.offsets), np.int64, len(ids))
             cuts = np.searchsorted(first, begins).tolist() + [len(ids)]
-            self.known.update((words[at + i], ids[a:b].tobytes()) for i, (a, b) in enumerate(zip(cuts, cuts[1:])))
-
-    def encode(self, texts: list[bytes]) -> list[bytes]:
-        """The ids of each text as raw bytes of self.kind."""
-        split = [(t.lower() if self.lowers and b"<|" not in t else t).split() for t in texts]
-        known = self.known
-        for _ in range(2):
-            got = [list(map(known.get, words)) for words in split]
-            new = {w for words, ids in zip(split, got) if None in ids for w, i in zip(words, ids) if i is None}
-            if not new:
-                return [b"".join(ids) for ids in got]
-            self._learn(sorted(new))
-            known = self.known
-        # more new words in one batch than are kept: text by text, which always fits
-        return [b"".join(self._one(words)) for words in split]
-
-    def _one(self, words: list[bytes]) -> Iterator[bytes]:
-        for at in range(0, len(words), CACHED // 4):
-            part = words[at : at + CACHED // 4]
-            if new := {w for w in part if w not in self.known}:
-                self._learn(sorted(new))
-                if lost := {w for w in part if w not in self.known}:
-                    self._learn(sorted(lost))
-            yield from map(self.known.__getitem__, part)
+            self.known.update((w, ids[a:b].tobytes()) for (w, _), a, b in zip(part, cuts, cuts[1:]))
+
+    def _ids(self, words: list[bytes]) -> list[bytes]:
+        ids = list(map(self.known.get, words))
+        at = [i for i, x in enumerate(ids) if x is None]
+        for a in range(0, len(at), CACHED // 4):
+            part = at[a : a + CACHED // 4]
+            self._learn([words[i] for i in part])
+            for i in part:
+                ids[i] = self.known[words[i]]
+        return ids
+
+    def encode(self, texts: pa.Array) -> list[np.ndarray]:
+        """The ids of each text. The batch's words are numbered first, so each different one is looked up once."""
+        raw, borders = text_bytes(texts)
+        if self.lowers and b"<|" in raw.tobytes() and len(borders) > 2:
+            return [x for i in range(len(texts)) for x in self.encode(texts.slice(i, 1))]
+        if self.lowers and b"<|" not in raw.tobytes():
+            raw = _LOWER[raw]
+        starts, ends, cuts = word_spans(raw, borders)
+        if not len(starts):
+            return [np.zeros(0, self.kind)] * len(texts)
+        lengths = ends - starts
+        offsets = np.concatenate([[0], np.cumsum(lengths)])
+        packed = raw[~_SPACE[raw]]
+        words = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(offsets.astype(np.int64)), pa.py_buffer(packed)]).dictionary_encode()
+        ids = self._ids(words.dictionary.to_pylist())
+        sizes = np.fromiter(map(len, ids), np.int64, len(ids)) // np.dtype(self.kind).itemsize
+        table, begins = np.frombuffer(b"".join(ids), self.kind), np.cumsum(sizes) - sizes
+        codes = np.asarray(words.indices)
+        each = sizes[codes]
+        places = np.cumsum(each)
+        out = table[np.repeat(begins[codes] - places + each, each) + np.arange(places[-1])]
+        edges = np.concatenate([[0], places])[cuts]
+        return [out[a:b] for a, b in zip(edges[:-1].tolist(), edges[1:].tolist())]
 
 
 _tokenizers: dict[str, WordTokenizer] = {}
@@ -139,10 +201,10 @@ def tokenized(docs: DataFrame, path: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tok = tokenizer(path)
         for whole in batches:
-            for at in range(0, whole.num_rows, 512):
-                batch = whole.slice(at, 512)
-                raw = tok.encode([t or b"" for t in batch.column(2).cast(pa.large_binary()).to_pylist()])
-                keys = curve_keys([np.frombuffer(r, tok.kind) for r in raw])
+            for a, b in text_slices(whole.column(2), 8 << 20):
+                batch = whole.slice(a, b - a)
+                ids = tok.encode(batch.column(2))
+                keys, raw = curve_keys(ids), [x.tobytes() for x in ids]
                 yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(keys), pa.array([zlib.crc32(r) for r in raw], pa.int64()), pa.array(raw, pa.binary())], names=["doc_id", "ord", "key", "crc", "ids"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), order_id().alias("ord"), "text")
