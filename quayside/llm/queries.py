@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quayside.llm import audio, langid, mixing, packing, pii, quality, sharding, simhash
+from quayside.llm import audio, langid, mixing, packing, phrases, pii, quality, sharding, simhash
 from quayside.llm.common import table
 
 
@@ -30,6 +30,10 @@ def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.pseudonymized(docs, count="n_replaced")
 
 
+def op5_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.without_repeats(table(spark, sf_dir, "documents"), window=20)
+
+
 def op6_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = langid.train(docs.filter(~langid.held_out()))
@@ -59,7 +63,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_mixing": op1_mixing, "op2_sharding": op2_sharding, "op3_audio": op3_audio, "op4_pii": op4_pii, "op6_langid": op6_langid, "op7_quality": op7_quality, "op8_simhash": op8_simhash, "op10_packing": op10_packing}
+    return {"op1_mixing": op1_mixing, "op2_sharding": op2_sharding, "op3_audio": op3_audio, "op4_pii": op4_pii, "op5_phrases": op5_phrases, "op6_langid": op6_langid, "op7_quality": op7_quality, "op8_simhash": op8_simhash, "op10_packing": op10_packing}
 
 
 def oracle_sql() -> dict[str, str]:
