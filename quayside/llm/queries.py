@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quayside.llm import audio, langid, mixing, packing, phrases, pii, quality, sharding, simhash
+from quayside.llm import audio, langid, mixing, packing, phrases, pii, quality, sharding, simhash, spotsigs
 from quayside.llm.common import table
 
 
@@ -52,6 +52,10 @@ def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", simhash.hex_digits().alias("fingerprint"), simhash.id_of("component").alias("component_id"))
 
 
+def op9_spotsigs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spotsigs.with_successors(table(spark, sf_dir, "documents"))
+
+
 def tokenizer_path() -> str:
     import public_tokenizers
 
@@ -63,7 +67,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_mixing": op1_mixing, "op2_sharding": op2_sharding, "op3_audio": op3_audio, "op4_pii": op4_pii, "op5_phrases": op5_phrases, "op6_langid": op6_langid, "op7_quality": op7_quality, "op8_simhash": op8_simhash, "op10_packing": op10_packing}
+    return {"op1_mixing": op1_mixing, "op2_sharding": op2_sharding, "op3_audio": op3_audio, "op4_pii": op4_pii, "op5_phrases": op5_phrases, "op6_langid": op6_langid, "op7_quality": op7_quality, "op8_simhash": op8_simhash, "op9_spotsigs": op9_spotsigs, "op10_packing": op10_packing}
 
 
 def oracle_sql() -> dict[str, str]:
