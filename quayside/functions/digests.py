@@ -60,43 +60,46 @@ def _crc32c_table() -> np.ndarray:
     return t
 
 
+#: Bytes of a lane; lanes of an input go through the table together.
+_LANE = 64
+
+
 @cache
-def _zeros(n: int) -> np.ndarray:
-    """What n zero bytes make of each bit of a CRC, as 32 columns of a matrix over GF(2)."""
+def _shift(level: int) -> np.ndarray:
+    """What _LANE << level zero bytes make of a CRC: the sum of a table entry (4 x 256) for each of its bytes."""
+    values = (np.arange(256, dtype=np.uint32)[None, :] << (8 * np.arange(4, dtype=np.uint32))[:, None]).astype(np.uint32)
+    if level:
+        return _shifted(_shifted(values, level - 1), level - 1)
     table = _crc32c_table()
-    if n == 1:
-        bits = np.uint32(1) << np.arange(32, dtype=np.uint32)
-        return table[bits & 0xFF] ^ (bits >> 8)
-    half = _zeros(n // 2)
-    both = _apply(half, half)
-    return _apply(_zeros(1), both) if n % 2 else both
+    for _ in range(_LANE):
+        values = table[values & 0xFF] ^ (values >> np.uint32(8))
+    return values
 
 
-def _apply(matrix: np.ndarray, values: np.ndarray) -> np.ndarray:
-    out = np.zeros_like(values)
-    for i in range(32):
-        out ^= np.where(values >> np.uint32(i) & 1, matrix[i], np.uint32(0))
-    return out
+def _shifted(values: np.ndarray, level: int) -> np.ndarray:
+    t = _shift(level)
+    return t[0][values & 0xFF] ^ t[1][values >> np.uint32(8) & 0xFF] ^ t[2][values >> np.uint32(16) & 0xFF] ^ t[3][values >> np.uint32(24)]
 
 
 def crc32c(data: bytes) -> int:
-    """Long inputs are cut into 256 lanes that go through the table together and are joined by powers of the shift."""
-    table = _crc32c_table()
-    crc, lanes = np.uint32(0xFFFFFFFF), 256
-    size = len(data) // lanes
-    if size >= 8:
-        rows = np.frombuffer(data, np.uint8, size * lanes).reshape(lanes, size)
-        state = np.zeros(lanes, np.uint32)
-        state[0] = crc
+    """Whole lanes are run side by side and joined in pairs; lanes of zeros before the first make their number a power of
+    two, which a state of zero doesn't notice."""
+    table, lanes, value = _crc32c_table(), len(data) // _LANE, 0xFFFFFFFF
+    if lanes > 1:
+        width = 1 << (lanes - 1).bit_length()
+        state = np.zeros(width, np.uint32)
+        state[width - lanes] = value
+        rows = np.zeros((width, _LANE), np.uint8)
+        rows[width - lanes :] = np.frombuffer(data, np.uint8, lanes * _LANE).reshape(lanes, _LANE)
         for column in rows.T:
             state = table[(state ^ column) & 0xFF] ^ (state >> np.uint32(8))
-        shift, crc = _zeros(size), state[0]
-        for lane in state[1:]:
-            crc = _apply(shift, np.array([crc], np.uint32))[0] ^ lane
-        data = data[size * lanes :]
-    value, plain = int(crc), table.tolist()
+        level = 0
+        while len(state) > 1:
+            state = _shifted(state[0::2], level) ^ state[1::2]
+            level += 1
+        value, data = int(state[0]), data[lanes * _LANE :]
     for b in data:
-        value = plain[(value ^ b) & 0xFF] ^ (value >> 8)
+        value = int(table[(value ^ b) & 0xFF]) ^ (value >> 8)
     return value ^ 0xFFFFFFFF
 
 
