@@ -55,15 +55,24 @@ def _delete_quietly(spark: SparkSession, path: str) -> None:
         pass
 
 
+_CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 class Stored:
     """A DataFrame written as Parquet to the shared folder: it cuts the lineage and survives lost executors.
 
-    drop() deletes the files as soon as nothing will read them; the rest goes when the driver exits."""
+    The shuffle files of the write go when it ends, as nothing can read them any more. drop() deletes the table as soon
+    as nothing will read it; the rest goes when the driver exits."""
 
     def __init__(self, df: DataFrame):
         self.spark = df.sparkSession
         self.path = f"{shared_folder(self.spark)}/quayside-{uuid.uuid4().hex}"
-        df.write.parquet(self.path)
+        conf, was = self.spark.conf, self.spark.conf.get(_CLEAN, "false")
+        conf.set(_CLEAN, "true")
+        try:
+            df.write.parquet(self.path)
+        finally:
+            conf.set(_CLEAN, was)
         self.df = self.spark.read.schema(df.schema).parquet(self.path)
         self._hook = lambda s=self.spark, p=self.path: _delete_quietly(s, p)
         atexit.register(self._hook)
