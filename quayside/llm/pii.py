@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quayside.llm.common import Stored, order_id
+from quayside.llm.common import Stored, order_id, store
 from quayside.llm.permute import HEX, feistel, move_text, moved
 
 #: For tests and benchmarks; a production key comes from the caller.
@@ -230,7 +230,7 @@ def pseudonymized(docs: DataFrame, key: bytes = DEFAULT_KEY, count: str | None =
     rows = docs
     if not odd.df.isEmpty():
         own = found.df.join(odd.df, ["kind", "canonical"]).groupBy("ord").agg(F.collect_set(F.struct("kind", "canonical", "attempt")).alias("_odd"))
-        rows = docs.join(own.withColumnRenamed("ord", "_own"), order_id() == F.col("_own"), "left").drop("_own")
+        rows = docs.join(store(own.withColumnRenamed("ord", "_own")), order_id() == F.col("_own"), "left").drop("_own")
     found.drop()
     at, last = plain.index("text"), len(plain)
     out = T.StructType([*docs.schema.fields, *([T.StructField(count, T.IntegerType())] if count else [])])
