@@ -145,13 +145,13 @@ def schedule(spark, plan: Plan) -> DataFrame:
 def positions(docs: DataFrame, plan: Plan) -> DataFrame:
     """Adds source_at and pos, the words of the source before the document in its shuffled order.
 
-    docs has ord, source, size and h, the order. Of the running sum, one window is over hash ranges of a source
-    (a few thousand rows), the other over the documents of one range (about 10,000)."""
+    docs has ord, source, size and h, the order. Of the running sum, one window is over hash ranges of a source, the
+    other over the documents of one range; either sees about the square root of the largest source's documents."""
     spark = docs.sparkSession
     names = spark.createDataFrame([(i, n, n is None) for i, n in enumerate(plan.names)], "source_at int, source_name string, source_null boolean")
     docs = docs.join(F.broadcast(names) if len(plan.names) <= 10_000 else names, F.col("source").eqNullSafe(F.col("source_name"))).drop("source_name", "source_null")
     most = docs.groupBy("source_at").count().agg(F.max("count")).first()[0] or 0
-    bits = max(0, min(40, (most // 10_000).bit_length()))
+    bits = most.bit_length() // 2
     docs = docs.withColumn("range", F.shiftrightunsigned("h", 64 - bits) if bits else F.lit(0).cast("long"))
     sums = docs.groupBy("source_at", "range").agg(F.sum("size").alias("range_size"))
     ahead = Window.partitionBy("source_at").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
