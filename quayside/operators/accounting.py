@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from quayside.operators.ordered import running_sum
+
 
 def usage(blobs: DataFrame) -> DataFrame:
     """repo, bytes: what each repository holds, and in the row of a null repo the sum of all. Shared blobs count in each."""
@@ -14,8 +16,7 @@ def usage(blobs: DataFrame) -> DataFrame:
 
 def running_usage(writes: DataFrame) -> DataFrame:
     """writes: repo, seq, size. Adds used: the repository's bytes after each write, all writes admitted."""
-    w = Window.partitionBy("repo").orderBy("seq").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return writes.withColumn("used", F.sum("size").over(w).cast("long"))
+    return running_sum(writes, ["repo"], "seq", "size", "used").withColumn("used", F.col("used").cast("long"))
 
 
 def admission(writes: DataFrame, repo_cap: int) -> DataFrame:

@@ -73,6 +73,11 @@ def foreign_tags(indexes: DataFrame, tags_: DataFrame) -> DataFrame:
     return last.join(tags_.select("repo", "tag"), ["repo", "tag"], "left_anti").withColumn("media_type", F.coalesce("media_type", F.lit(DEFAULT_MEDIA_TYPE)))
 
 
+def warm_referrers(indexes: DataFrame, referrers_: DataFrame) -> DataFrame:
+    """repo, subject, digest, artifact_type of links that only the indexes have."""
+    return referrers(indexes).join(referrers_.select("repo", "subject", F.col("referrer").alias("digest")), ["repo", "subject", "digest"], "left_anti")
+
+
 def rebuild(indexes: DataFrame, tags_: DataFrame, manifests: DataFrame, sizes: DataFrame) -> DataFrame:
     """repo, part, tag, digest, media_type, size: the entries of each repository's new index. Part 0 has a row a recorded
     tag, part 1 the untagged manifests, part 2 what the old index has of digests unknown to the records. Media types come

@@ -27,8 +27,14 @@ def has_referrer(requests: DataFrame, referrers: DataFrame) -> DataFrame:
 
 
 def backrefs(edges: DataFrame) -> DataFrame:
-    """repo, blob, manifests: of each blob the manifests that refer to it, in byte order."""
-    return edges.groupBy("repo", "blob").agg(F.sort_array(F.collect_set("manifest")).alias("manifests"))
+    """repo, blob, manifest: the manifests that refer to each blob, a row each. A base layer may have millions, so they are
+    rows and not an array."""
+    return edges.select("repo", "blob", "manifest").distinct()
+
+
+def backrefs_of(edges: DataFrame, repo: str, blob: str) -> DataFrame:
+    """manifest: those that refer to one blob, in byte order."""
+    return edges.filter((F.col("repo") == repo) & (F.col("blob") == blob)).select("manifest").distinct().orderBy("manifest")
 
 
 def backref_counts(edges: DataFrame) -> DataFrame:

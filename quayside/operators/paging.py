@@ -59,13 +59,13 @@ def catalog(manifests: DataFrame, referrers: DataFrame) -> DataFrame:
 
 
 def tags_snapshot(tags: DataFrame) -> DataFrame:
-    """repo, tags: each repository's tags with digests, in byte order of the tag."""
-    return tags.groupBy("repo").agg(F.sort_array(F.collect_list(F.struct("tag", "digest"))).alias("tags"))
+    """repo, tag, digest of all tags, by repository and tag. A range sort: no repository is gathered in a row."""
+    return tags.select("repo", "tag", "digest").orderBy("repo", "tag")
 
 
 def referrers_snapshot(referrers: DataFrame) -> DataFrame:
-    """repo, subject, referrers: in byte order of the referrer's digest."""
-    return referrers.groupBy("repo", "subject").agg(F.sort_array(F.collect_set("referrer")).alias("referrers"))
+    """repo, subject, referrer, artifact_type, by repository, subject and referrer; repeated rows once."""
+    return referrers.select("repo", "subject", "referrer", "artifact_type").distinct().orderBy("repo", "subject", "referrer")
 
 
 def scrub_order(blobs: DataFrame) -> DataFrame:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quayside.operators.ordered import at_places
+
 #: Upper bounds of the latency histogram in seconds and of the log's batch sizes.
 LATENCY_BOUNDS = [0.001, 0.0025, 0.005, 0.01, 0.025, 0.05, 0.1, 0.25, 0.5, 1.0, 2.5, 5.0, 10.0, 30.0]
 BATCH_BOUNDS = [1.0, 2.0, 4.0, 8.0, 16.0, 32.0, 64.0, 128.0]
@@ -43,22 +45,19 @@ def phases(samples: DataFrame, spans: DataFrame) -> DataFrame:
     return out.select("series", "phase", F.when(enough, F.col("cpu_used")).alias("cpu_used"), F.when(enough, F.col("peak_rss")).alias("peak_rss"))
 
 
+def _named(rank: float) -> str:
+    return f"p{rank:g}".replace(".", "_")
+
+
 def nearest_rank(samples: DataFrame, by: list[str], value: str, ranks: list[float]) -> DataFrame:
     """by and p<rank>: the smallest value with at least rank percent of all at or under it. Exact."""
-    exprs = [F.expr(f"percentile_disc({r / 100}) WITHIN GROUP (ORDER BY `{value}`)").cast("double").alias(f"p{r:g}".replace(".", "_")) for r in ranks]
-    return samples.groupBy(*by).agg(*exprs)
+    return at_places(samples, by, value, {_named(r): F.greatest(F.ceil(F.lit(r) * F.col("n") / 100) - 1, F.lit(0)) for r in ranks})
 
 
 def rounded_rank(samples: DataFrame, by: list[str], value: str, ranks: list[float]) -> DataFrame:
-    """by and p<rank>: the value at place round(rank / 100 * (n - 1)) of the sorted ones, from 0; halves round up.
-
-    Values are counted first and the place is found in running counts of distinct values, so a group is never an array."""
-    counts = samples.groupBy(*by, value).agg(F.count("*").alias("_c"))
-    w = Window.partitionBy(*by).orderBy(value)
-    placed = counts.withColumn("_end", F.sum("_c").over(w)).withColumn("_n", F.sum("_c").over(Window.partitionBy(*by)))
-    place = lambda r: F.floor(F.lit(r / 100) * (F.col("_n") - 1) + 0.5)
-    exprs = [F.min(F.when(F.col("_end") > place(r), F.col(value))).cast("double").alias(f"p{r:g}".replace(".", "_")) for r in ranks]
-    return placed.groupBy(*by).agg(*exprs)
+    """by and p<rank>: the value at place round(rank / 100 * (n - 1)) of the sorted ones, from 0; halves round up. Exact,
+    and not the same as nearest_rank."""
+    return at_places(samples, by, value, {_named(r): F.floor(F.lit(r / 100) * (F.col("n") - 1) + 0.5) for r in ranks})
 
 
 def exposition(points: DataFrame, kind: str, help_: str) -> DataFrame:

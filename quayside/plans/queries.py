@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quayside.functions import paths
-from quayside.operators import accounting, collect, lookup, paging, replay, routing, traffic
+from quayside.operators import accounting, collect, ingest, lookup, paging, replay, routing, traffic
 from quayside.plans.fixture import Model, digest
 from quayside.plans.registry import query
 
@@ -15,10 +15,6 @@ ROUTES = [("africa", "s3-a"), ("africa/nation-0", "s3-b"), ("asia/nation-1", "fs
 ROUTES_SQL = "(VALUES " + ", ".join(f"('{a}', '{b}')" for a, b in ROUTES) + ") AS routes(prefix, backend)"
 
 
-def joined(names: str) -> Column:
-    return F.sha2(F.array_join(names, ","), 256)
-
-
 # --- lookups ---------------------------------------------------------------------------------------------------------
 
 
@@ -38,9 +34,9 @@ def has_referrer(m: Model) -> DataFrame:
     return lookup.has_referrer(m.manifests.select("repo", "digest"), m.referrers)
 
 
-@query("backrefs", "SELECT repo, blob, sha256(string_agg(manifest, ',' ORDER BY manifest)) AS manifests, count(*) AS n FROM edges GROUP BY 1, 2", "edges")
+@query("backrefs", "SELECT repo, blob, manifest FROM edges", "edges")
 def backrefs(m: Model) -> DataFrame:
-    return lookup.backrefs(m.edges()).select("repo", "blob", joined("manifests").alias("manifests"), F.size("manifests").cast("long").alias("n"))
+    return lookup.backrefs(m.edge_keys.select("repo", F.col("part").alias("blob"), F.col("n").alias("manifest"))).select("repo", digest("part-", "blob").alias("blob"), digest("order-", "manifest").alias("manifest"))
 
 
 @query("backref_counts", "SELECT repo, blob, count(DISTINCT manifest) AS n FROM edges GROUP BY 1, 2", "edges")
@@ -143,15 +139,14 @@ def manifest_list(m: Model) -> DataFrame:
     return m.manifests.filter(F.col("repo") == REPO).select("digest", "media_type")
 
 
-@query("tags_snapshot", "SELECT repo, count(*) AS n, sha256(string_agg(tag || '=' || digest, ',' ORDER BY tag)) AS tags FROM tags GROUP BY 1", "tags")
+@query("tags_snapshot", "SELECT repo, tag, digest FROM tags", "tags")
 def tags_snapshot(m: Model) -> DataFrame:
-    snap = paging.tags_snapshot(m.tags)
-    return snap.select("repo", F.size("tags").cast("long").alias("n"), F.sha2(F.array_join(F.transform("tags", lambda t: F.concat(t["tag"], F.lit("="), t["digest"])), ","), 256).alias("tags"))
+    return paging.tags_snapshot(m.tags)
 
 
-@query("referrers_snapshot", "SELECT repo, subject, string_agg(referrer, ',' ORDER BY referrer) AS referrers FROM referrers GROUP BY 1, 2", "referrers")
+@query("referrers_snapshot", "SELECT DISTINCT repo, subject, referrer, artifact_type FROM referrers", "referrers")
 def referrers_snapshot(m: Model) -> DataFrame:
-    return paging.referrers_snapshot(m.referrers).withColumn("referrers", F.array_join("referrers", ","))
+    return paging.referrers_snapshot(m.referrers)
 
 
 @query("scrub_order", "SELECT repo, digest, k AS place_in_repo, row_number() OVER (ORDER BY k, repo) AS position FROM (SELECT repo, digest, row_number() OVER (PARTITION BY repo ORDER BY digest) AS k FROM blobs)", "blobs")
@@ -282,3 +277,9 @@ def rate_limit_per_client(m: Model) -> DataFrame:
 def cache_simulation(m: Model) -> DataFrame:
     rows = m.requests.select((F.col("client") % 8).alias("worker"), "seq", F.concat(F.lit("k"), (F.col("seq") * 31 % 211).cast("string")).alias("key"), (F.col("seq") % 5000).alias("size"))
     return traffic.cache_hits(rows, 50_000, 4_000)
+
+
+@query("upload_verdicts", """SELECT repo, seq, CASE WHEN size > 10000 THEN 'too large' WHEN seq % 13 = 0 THEN 'invalid digest' WHEN seq % 17 = 0 THEN 'mismatch' ELSE 'accepted' END AS verdict FROM contents""", "contents")
+def upload_verdicts(m: Model) -> DataFrame:
+    claimed = F.when(F.expr("seq % 13 = 0"), "none").when(F.expr("seq % 17 = 0"), digest("x", "seq")).otherwise(F.col("digest"))
+    return ingest.put_blobs(m.contents.select("repo", "seq", claimed.alias("digest"), "content"), 10_000).select("repo", "seq", "verdict")
