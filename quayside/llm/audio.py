@@ -26,6 +26,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quayside.llm.common import mapped
+
 RATE, UP, DOWN, TAPS = 16_000, 1, 2, 16
 OUT_RATE = RATE * UP // DOWN
 FRAME, HOP, FFT, MELS, PATCH = 200, 80, 256, 40, 96
@@ -225,7 +227,7 @@ def stored(docs: DataFrame, media: bool = False, tensors: bool = False) -> DataF
                     rows = []
             yield pa.RecordBatch.from_pylist(rows, schema=arrow)
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, out_schema)
+    return mapped(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), run, out_schema)
 
 
 def tensor_batch(patches: list[np.ndarray]) -> pa.Array:

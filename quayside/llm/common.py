@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import gc
+import re
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -96,7 +98,33 @@ def partitions_for(spark: SparkSession, rows: int, per_task: int) -> int:
     return max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-rows // per_task))
 
 
-def text_slices(texts: pa.Array, most_bytes: int = 4 << 20) -> Iterator[tuple[int, int]]:
+#: Bytes of the batches in which Spark hands texts to Python, at most; the JVM and the worker each hold a few of them.
+BATCH_BYTES = "8m"
+
+
+def mapped(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: object) -> DataFrame:
+    """df.mapInArrow(run, schema) in bounded memory: the session's Arrow batches hold BATCH_BYTES at most, as a count of rows
+    bounds nothing where texts are long, and workers, which live on, give back what a task needed."""
+    key, conf = "spark.sql.execution.arrow.maxBytesPerBatch", df.sparkSession.conf
+    m = re.fullmatch(r"(\d+)([kmg]?)b?", conf.get(key, "64m").lower())
+    if not m or not 0 < int(m[1]) << {"": 0, "k": 10, "m": 20, "g": 30}[m[2]] <= 8 << 20:
+        conf.set(key, BATCH_BYTES)
+
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            gc.collect()
+            pa.default_memory_pool().release_unused()
+            try:
+                ctypes.CDLL(None).malloc_trim(0)
+            except (AttributeError, OSError):  # another C library
+                pass
+
+    return df.mapInArrow(whole, schema)
+
+
+def text_slices(texts: pa.Array, most_bytes: int = 1 << 20) -> Iterator[tuple[int, int]]:
     """Consecutive ranges of rows of about most_bytes of text each (a longer single text is a range of its own)."""
     if len(texts) == 0:
         return

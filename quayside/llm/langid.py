@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quayside.llm.chars import code_points, letters
-from quayside.llm.common import text_slices
+from quayside.llm.common import mapped, text_slices
 
 DIM = 1 << 14
 ORDERS = (1, 2, 3)
@@ -37,7 +37,7 @@ def held_out(col: str = "doc_id") -> Column:
 
 def counts(texts: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """First row, counts (rows x DIM) and whether each row has a letter, in batches of rows."""
-    for a, b in text_slices(texts, 2 << 20):
+    for a, b in text_slices(texts):
         codes, borders = code_points(texts.slice(a, b - a), lower=True)
         is_letter = letters()[codes]
         plain = np.where(is_letter, codes, 32).astype(np.uint32)
@@ -91,7 +91,7 @@ def train(rows: DataFrame, smoothing: float = 0.5) -> Model:
         return pa.table({"lang": [table.column("lang")[0].as_py()], "docs": [int(np.sum(table.column("docs").to_numpy()))], "sums": [total.tobytes()]})
 
     schema = "lang string, docs long, sums binary"
-    parts = rows.select(F.coalesce("text", F.lit("")).alias("text"), F.col("lang").cast("string").alias("lang")).filter("lang IS NOT NULL").mapInArrow(add, schema)
+    parts = mapped(rows.select(F.coalesce("text", F.lit("")).alias("text"), F.col("lang").cast("string").alias("lang")).filter("lang IS NOT NULL"), add, schema)
     parts = parts.withColumn("part", F.spark_partition_id() % _FOLD).groupBy("lang", "part").applyInArrow(fold, schema)
     found = sorted(parts.groupBy("lang").applyInArrow(fold, schema).limit(MAX_LANGUAGES + 1).collect(), key=lambda r: r["lang"])
     if len(found) > MAX_LANGUAGES:
@@ -124,4 +124,4 @@ def predict(docs: DataFrame, model: Model, keep: list[str]) -> DataFrame:
 
     rows = docs.select(*keep, F.col("text").alias("_text"))
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[:-1])
-    return rows.mapInArrow(run, f"{schema}, lang_pred string, score double")
+    return mapped(rows, run, f"{schema}, lang_pred string, score double")

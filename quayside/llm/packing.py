@@ -25,10 +25,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quayside.llm.common import _SPACE, order_id, partitions_for, store, text_bytes, text_slices, word_spans
+from quayside.llm.common import _SPACE, mapped, order_id, partitions_for, store, text_bytes, text_slices, word_spans
 
-#: Words a worker remembers the ids of; beyond it, it forgets all and begins anew.
-CACHED = 600_000
+#: Words a worker remembers the ids of; beyond it, it keeps those of the batch at hand, which has the common ones.
+CACHED = 200_000
 BITS, DIMS, BUCKETS = 16, 3, 256
 
 
@@ -89,8 +89,6 @@ class WordTokenizer:
         return self._piece(letters) + self._piece(word[len(letters) :])
 
     def _learn(self, words: list[bytes]) -> None:
-        if len(self.known) + len(words) > CACHED:
-            self.known.clear()
         hard = []
         for w in words:
             text = w.decode()
@@ -113,6 +111,8 @@ class WordTokenizer:
         at = [i for i, x in enumerate(ids) if x is None]
         for a in range(0, len(at), CACHED // 4):
             part = at[a : a + CACHED // 4]
+            if len(self.known) + len(part) > CACHED:
+                self.known = {w: x for w, x in zip(words[: CACHED // 2], ids) if x is not None}
             self._learn([words[i] for i in part])
             for i in part:
                 ids[i] = self.known[words[i]]
@@ -201,14 +201,14 @@ def tokenized(docs: DataFrame, path: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tok = tokenizer(path)
         for whole in batches:
-            for a, b in text_slices(whole.column(2), 8 << 20):
+            for a, b in text_slices(whole.column(2), 2 << 20):
                 batch = whole.slice(a, b - a)
                 ids = tok.encode(batch.column(2))
                 keys, raw = curve_keys(ids), [x.tobytes() for x in ids]
                 yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(keys), pa.array([zlib.crc32(r) for r in raw], pa.int64()), pa.array(raw, pa.binary())], names=["doc_id", "ord", "key", "crc", "ids"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), order_id().alias("ord"), "text")
-    return rows.mapInArrow(run, "doc_id long, ord long, key long, crc long, ids binary")
+    return mapped(rows, run, "doc_id long, ord long, key long, crc long, ids binary")
 
 
 def _powers_of_two(n: int) -> list[int]:
@@ -280,4 +280,4 @@ def pack(docs: DataFrame, path: str, length: int = 2048, end_id: int = 1, with_i
 
     ordered = rows.repartitionByRange(n, "key", "ord", "crc").sortWithinPartitions("key", "ord", "crc").select("doc_id", "ids")
     schema = ", ".join(f"`{c}` long" for c in names[:7]) + ", ids array<int>" * with_ids
-    return ordered.mapInArrow(run, schema)
+    return mapped(ordered, run, schema)

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quayside.llm.common import Stored, free_shuffles, mix64, order_id, span_hashes, text_bytes, text_slices, word_hashes, word_spans
+from quayside.llm.common import Stored, free_shuffles, mapped, mix64, order_id, span_hashes, text_bytes, text_slices, word_hashes, word_spans
 
 GRAM = 8
 #: Segments of an anchor that go to one shard, and segments of a shard, about.
@@ -91,7 +91,7 @@ def ranges(docs: DataFrame, window: int) -> DataFrame:
                 of = pa.array(of)
                 yield pa.RecordBatch.from_arrays([pa.array(anchor.view(np.int64)), batch.column(0).take(of), batch.column(1).take(of), pa.array(lo.astype(np.int32)), pa.array(hi.astype(np.int32)), pa.array(times.astype(np.int32))], names=["anchor", "ord", "mark", "lo", "hi", "times"])
 
-    return docs.select("ord", "mark", "text").mapInArrow(run, "anchor long, ord long, mark int, lo int, hi int, times int")
+    return mapped(docs.select("ord", "mark", "text"), run, "anchor long, ord long, mark int, lo int, hi int, times int")
 
 
 def segments(docs: DataFrame, found: DataFrame, shards: int, window: int) -> DataFrame:
@@ -119,7 +119,7 @@ def segments(docs: DataFrame, found: DataFrame, shards: int, window: int) -> Dat
     def batch_of(out: list[list]) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds)], names=["shard", "hot", "ord", "mark", "lo", "words"])
 
-    return docs.join(found, ["ord", "mark"]).select("ord", "mark", "text", "parts").mapInArrow(run, "shard long, hot boolean, ord long, mark int, lo int, words binary")
+    return mapped(docs.join(found, ["ord", "mark"]).select("ord", "mark", "text", "parts"), run, "shard long, hot boolean, ord long, mark int, lo int, words binary")
 
 
 def locate(words: pa.Array, ord_: np.ndarray, lo: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -271,4 +271,4 @@ def without_repeats(docs: DataFrame, window: int = 20, with_text: bool = False)
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     schema = f"doc_id {kind}, n_words long, n_removed long, kept_sha256 string" + ", text string" * with_text
-    return keyed.join(spans, ["ord", "mark"], "left").select("doc_id", "text", "spans").mapInArrow(run, schema)
+    return mapped(keyed.join(spans, ["ord", "mark"], "left").select("doc_id", "text", "spans"), run, schema)

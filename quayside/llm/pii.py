@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quayside.llm.common import Stored, order_id, store
+from quayside.llm.common import Stored, mapped, order_id, store
 from quayside.llm.permute import HEX, feistel, move_text, moved
 
 #: For tests and benchmarks; a production key comes from the caller.
@@ -182,7 +182,7 @@ def entities(docs: DataFrame) -> DataFrame:
                     values.append(value)
             yield pa.RecordBatch.from_arrays([pa.array(ords, pa.int64()), pa.array(kinds, pa.string()), pa.array(values, pa.string())], names=["ord", "kind", "canonical"])
 
-    return docs.select(order_id().alias("ord"), "text").mapInArrow(run, "ord long, kind string, canonical string")
+    return mapped(docs.select(order_id().alias("ord"), "text"), run, "ord long, kind string, canonical string")
 
 
 def with_surrogates(rows: DataFrame, key: bytes) -> DataFrame:
@@ -193,7 +193,7 @@ def with_surrogates(rows: DataFrame, key: bytes) -> DataFrame:
             made = [surrogate(k, c, key, a) for k, c, a in zip(*(batch.column(i).to_pylist() for i in range(3)))]
             yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(made, pa.string())], names=["kind", "canonical", "attempt", "surrogate"])
 
-    return rows.select("kind", "canonical", F.col("attempt").cast("int").alias("attempt")).mapInArrow(run, "kind string, canonical string, attempt int, surrogate string")
+    return mapped(rows.select("kind", "canonical", F.col("attempt").cast("int").alias("attempt")), run, "kind string, canonical string, attempt int, surrogate string")
 
 
 #: Kinds whose values are so few that a surrogate may be a name of the corpus; they are all surrogates of each other.
@@ -248,4 +248,4 @@ def pseudonymized(docs: DataFrame, key: bytes = DEFAULT_KEY, count: str | None =
             columns[at] = pa.array(texts, columns[at].type)
             yield pa.RecordBatch.from_arrays(columns + [pa.array(numbers, pa.int32())] * bool(count), names=names)
 
-    return rows.mapInArrow(run, out)
+    return mapped(rows, run, out)

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quayside.llm.chars import BREAK, CRY, DIGIT, LOWER, N_CLASSES, POINT, SPACE, SYMBOL, UPPER, classes, code_points
-from quayside.llm.common import span_hashes, text_slices
+from quayside.llm.common import mapped, span_hashes, text_slices
 from quayside.llm.langid import held_out
 
 #: Labelled documents a label that the chain is fitted on at most.
@@ -198,7 +198,7 @@ def score_texts(texts: pa.Array, model: Model) -> np.ndarray:
     if model.constant is not None:
         return np.full(len(texts), model.constant)
     out = []
-    for a, b in text_slices(texts, 2 << 20):
+    for a, b in text_slices(texts):
         features, lengths, docs = line_features(texts.slice(a, b - a))
         raw = _raw(marginals(features @ model.weights, model.moves, docs)[0], lengths, docs)
         out.append(1 / (1 + np.exp(-(model.slope * raw + model.shift))))
@@ -218,7 +218,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
             sizes = [lengths[a:b].tobytes() for a, b in zip(borders, borders[1:])]
             yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(raw, pa.binary()), pa.array(sizes, pa.binary())], names=["label", "features", "lengths"])
 
-    rows = chosen.mapInArrow(run, "label int, features binary, lengths binary").collect()
+    rows = mapped(chosen, run, "label int, features binary, lengths binary").collect()
     rows.sort(key=lambda r: (r["label"], bytes(r["features"])))
     y = np.array([r["label"] for r in rows], np.int64)
     if len(set(y.tolist())) < 2:
@@ -237,7 +237,7 @@ def score(docs: DataFrame, model: Model, keep: list[str]) -> DataFrame:
 
     rows = docs.select(*keep, F.col("text").alias("_text"))
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[:-1])
-    return rows.mapInArrow(run, f"{schema}, score double")
+    return mapped(rows, run, f"{schema}, score double")
 
 
 def keep_good(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:
@@ -248,4 +248,4 @@ def keep_good(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> Da
             good = score_texts(batch.column(batch.schema.get_field_index("text")), model) >= threshold
             yield batch.filter(pa.array(good))
 
-    return docs.mapInArrow(run, docs.schema)
+    return mapped(docs, run, docs.schema)

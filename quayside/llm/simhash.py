@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quayside.llm.common import NO_ID, Stored, free_shuffles, order_id, store
+from quayside.llm.common import NO_ID, Stored, free_shuffles, mapped, order_id, store
 from quayside.llm.components import components
 
 SEED = 42
@@ -66,7 +66,7 @@ def with_fingerprint(docs: DataFrame, keep: list[str]) -> DataFrame:
 
     rows = docs.select(*keep, F.col("text").alias("_text"))
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[:-1])
-    return rows.mapInArrow(run, f"{schema}, fp long")
+    return mapped(rows, run, f"{schema}, fp long")
 
 
 def hex_digits(fp: str = "fp") -> Column:
@@ -139,7 +139,7 @@ def links(fps: DataFrame, n: int, distance: int = 4) -> DataFrame:
             u, v = np.concatenate(us).view(np.int64), np.concatenate(vs).view(np.int64)
             yield pa.RecordBatch.from_arrays([pa.array(np.maximum(u, v)), pa.array(np.minimum(u, v))], names=["u", "v"])
 
-    out = sparse.mapInArrow(compare, "u long, v long")
+    out = mapped(sparse, compare, "u long, v long")
     if not dense.df.isEmpty():
         out = out.unionByName(_dense_links(keys.join(dense.df, ["choice", "key"]), masks, distance))
     return out
@@ -158,7 +158,7 @@ def _dense_links(members: DataFrame, masks: list[int], distance: int) -> DataFra
                 at = fp ^ flips[choice]
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), choice, np.int32)), pa.array(at.view(np.int64)), pa.array(np.full(len(at), fp).view(np.int64))], names=["choice", "point", "fp"])
 
-    spread = members.select("fp", "choice").mapInArrow(points, "choice int, point long, fp long")
+    spread = mapped(members.select("fp", "choice"), points, "choice int, point long, fp long")
     least = spread.groupBy("choice", "point").agg(F.min("fp").alias("v"))
     return spread.join(least, ["choice", "point"]).filter("fp > v").select(F.col("fp").alias("u"), "v").distinct()
 

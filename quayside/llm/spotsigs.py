@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quayside.llm.common import Stored, mix64, text_bytes, text_slices, word_hashes, word_spans
+from quayside.llm.common import Stored, mapped, mix64, text_bytes, text_slices, word_hashes, word_spans
 
 CHAIN = 2
 #: Ranges of ids at most; the driver holds a bound for each.
@@ -137,7 +137,7 @@ def fingerprints(docs: DataFrame, keep: list[str]) -> DataFrame:
 
     rows = docs.select(*keep, F.col("text").alias("_text"))
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[:-1])
-    return rows.mapInArrow(run, f"{schema}, sigs array<long>")
+    return mapped(rows, run, f"{schema}, sigs array<long>")
 
 
 def size_partition(n: str, least: float) -> Column:
@@ -223,7 +223,7 @@ def with_successors(docs: DataFrame, chain: int = CHAIN, ranges: int = RANGES) -
 
         for whole in batches:
             doc_type = whole.schema.field(1).type
-            for a, b in text_slices(whole.column(3), 4 << 20):
+            for a, b in text_slices(whole.column(3)):
                 batch = whole.slice(a, b - a)
                 sets = signature_sets(batch.column(3), chain)
                 ready = []
@@ -235,4 +235,4 @@ def with_successors(docs: DataFrame, chain: int = CHAIN, ranges: int = RANGES) -
                     yield out(ready)
 
     ordered = placed.repartition("range").sortWithinPartitions("range", "extra", F.desc("ord"), "mark").select("range", "doc_id", "extra", "text")
-    return ordered.mapInArrow(run, f"doc_id {kind}, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
+    return mapped(ordered, run, f"doc_id {kind}, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
