@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from quayside.llm.common import _SPACE, mapped, order_id, partitions_for, store, text_bytes, text_slices, word_spans
 
 #: Words a worker remembers the ids of; beyond it, it keeps those of the batch at hand, which has the common ones.
-CACHED = 200_000
+CACHED = 300_000
 BITS, DIMS, BUCKETS = 16, 3, 256
 
 
@@ -201,7 +201,7 @@ def tokenized(docs: DataFrame, path: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tok = tokenizer(path)
         for whole in batches:
-            for a, b in text_slices(whole.column(2), 2 << 20):
+            for a, b in text_slices(whole.column(2), 4 << 20):
                 batch = whole.slice(a, b - a)
                 ids = tok.encode(batch.column(2))
                 keys, raw = curve_keys(ids), [x.tobytes() for x in ids]
