@@ -67,8 +67,20 @@ def luhn(digits: str) -> int:
     return -total % 10
 
 
+def _made_up(text: str, x: tuple[int, int, str, str], found: list[tuple[int, int, str, str]]) -> bool:
+    """Whether shorter entities side by side hold all letters and digits of x, as a phone number and an SSN do in a card's span."""
+    at = x[0]
+    for y in sorted(y for y in found if x[0] <= y[0] and y[1] <= x[1] and y[:2] != x[:2]):
+        if y[0] >= at:
+            if any(c.isalnum() for c in text[at : y[0]]):
+                return False
+            at = y[1]
+    return at > x[0] and not any(c.isalnum() for c in text[at : x[1]])
+
+
 def find(text: str) -> list[tuple[int, int, str, str]]:
-    """start, end, kind, canonical form of each entity, from left to right, none inside another."""
+    """start, end, kind, canonical form of each entity, from left to right, none inside another: of those that overlap the
+    longest (an address, not the phone number that three of its parts look like), of equally long ones the first kind."""
     digits = _DIGIT.search(text) is not None
     found = []
     for kind, pattern in PATTERNS.items():
@@ -90,8 +102,8 @@ def find(text: str) -> list[tuple[int, int, str, str]]:
                 found.append((*m.span(), kind, canonical))
     rank = {k: i for i, k in enumerate(PATTERNS)}
     out: list[tuple[int, int, str, str]] = []
-    for x in sorted(found, key=lambda x: (rank.get(x[2], 99), x[0])):
-        if all(x[1] <= y[0] or x[0] >= y[1] for y in out):
+    for x in sorted(found, key=lambda x: (x[0] - x[1], rank.get(x[2], 99), x[0])):
+        if all(x[1] <= y[0] or x[0] >= y[1] for y in out) and not _made_up(text, x, found):
             out.append(x)
     return sorted(out)
 

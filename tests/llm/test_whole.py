@@ -48,3 +48,19 @@ def test_near_dedup_stage(spark, request, monkeypatch, name, dense, common):
     got = stage(spark, docs, SF)
     assert got.columns == docs.columns
     assert sorted((r["doc_id"] for r in got.collect()), key=str) == brute_firsts([r.asDict() for r in docs.collect()])
+
+
+@pytest.mark.parametrize("text,kind", [("at 96.153.118.61 now", "ip"), ("at 7.153.118.610 or 10.200.118.255.", "ip"), ("at 196.153.118.161, so", "ip"), ("card 4111-1111-1111-1111 paid", "card"), ("card 4111-1111 1111 1111 paid", "card")])
+def test_whole_entities(text, kind):
+    assert kind in [x[2] for x in pii.find(text)]
+    whole = next(x for x in pii.find(text) if x[2] == kind)
+    new, _ = pii.rewrite(text, pii.DEFAULT_KEY)
+    assert text[whole[0] : whole[1]] not in new
+    if kind == "card":
+        out = pii.find(new)[0]
+        assert out[2] == "card" and pii.luhn(out[3][:-1]) == int(out[3][-1]) and out[3][4:] != whole[3][4:]
+
+
+def test_neighbours_stay_apart():
+    assert [x[2] for x in pii.find("call 555-123-4567 123-45-6789")] == ["phone", "ssn"]
+    assert [x[2] for x in pii.find("call 1-555-123-4567.")] == ["phone"]
