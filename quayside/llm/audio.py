@@ -169,9 +169,14 @@ class Features:
 
 
 def features(payload: bytes, patches: bool = False) -> Features:
+    return features_of(log_mels(payload), patches)
+
+
+def features_of(blocks: Iterator[np.ndarray], patches: bool = False) -> Features:
+    """blocks: the frames as log_mels cuts them."""
     n, total, squares = 0, np.zeros(MELS), np.zeros(MELS)
     energies, kept = [], []
-    for block in log_mels(payload):
+    for block in blocks:
         n += len(block)
         total += block.sum(axis=0, dtype=np.float64)
         squares += np.einsum("ij,ij->j", block, block, dtype=np.float64)
@@ -183,16 +188,21 @@ def features(payload: bytes, patches: bool = False) -> Features:
     segmenter = Segmenter()
     segmenter.feed(energy, *np.percentile(energy, [20, 95]).tolist())
     segmenter.close(len(energy))
-    out = []
-    if patches:
-        whole = np.concatenate(kept)
-        for a in range(0, n, PATCH):
-            patch = np.full((PATCH, MELS), np.log(FLOOR), np.float32)
-            patch[: min(PATCH, n - a)] = whole[a : a + PATCH]
-            out.append(patch)
+    out = patched(kept) if patches else []
     return Features(n, mean, np.sqrt(np.maximum(0, squares / n - mean**2)), segmenter.spans, out)
 
 
+def patched(blocks: list[np.ndarray]) -> list[np.ndarray]:
+    """PATCH frames each; the last one is padded with the floor."""
+    whole = np.concatenate(blocks)
+    out = []
+    for a in range(0, len(whole), PATCH):
+        patch = np.full((PATCH, MELS), np.log(FLOOR), np.float32)
+        patch[: min(PATCH, len(whole) - a)] = whole[a : a + PATCH]
+        out.append(patch)
+    return out
+
+
 TENSOR = "STRUCT<start_s: DOUBLE, end_s: DOUBLE, shape: ARRAY<INT>, values: ARRAY<FLOAT>>"
 
 
@@ -235,3 +245,86 @@ def tensor_batch(patches: list[np.ndarray]) -> pa.Array:
     kind = pa.fixed_shape_tensor(pa.float32(), [PATCH, MELS])
     flat = np.concatenate([p.ravel() for p in patches]) if patches else np.zeros(0, np.float32)
     return pa.ExtensionArray.from_storage(kind, pa.FixedSizeListArray.from_arrays(pa.array(flat, pa.float32()), PATCH * MELS))
+
+
+#: Patches and bytes of media that one row of the stored form holds, unless a single document has more.
+_ROW_PATCHES, _ROW_BYTES = 128, 1 << 20
+
+
+def _ipc(batch: pa.RecordBatch) -> bytes:
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, batch.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+        out.write_batch(batch)
+    return sink.getvalue().to_pybytes()
+
+
+def files(docs: DataFrame) -> DataFrame:
+    """The form of storage, a row a few documents, as two Arrow streams: media (doc_id, n_bytes, the WAV file) and tensors
+    (doc, the row in media; start_s, end_s, tensor, of the fixed-shape type, for each patch)."""
+    hop = HOP / OUT_RATE
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, lengths, media, at, starts, ends, patches = held = tuple([] for _ in range(7))
+
+        def out() -> pa.RecordBatch:
+            a = pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(lengths, pa.int64()), pa.array(media, pa.binary())], names=["doc_id", "n_bytes", "media"])
+            b = pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(starts, pa.float64()), pa.array(ends, pa.float64()), tensor_batch(patches)], names=["doc", "start_s", "end_s", "tensor"])
+            row = pa.RecordBatch.from_arrays([pa.array([_ipc(a)], pa.binary()), pa.array([_ipc(b)], pa.binary())], names=["media", "tensors"])
+            for x in held:
+                x.clear()
+            return row
+
+        for batch in batches:
+            size = 0
+            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                payload, n = payload_of(text)
+                blocks = list(log_mels(payload))
+                frames = sum(map(len, blocks))
+                own = patched(blocks)
+                if ids and (len(patches) + len(own) > _ROW_PATCHES or size + len(payload) > _ROW_BYTES):
+                    yield out()
+                    size = 0
+                at.extend([len(ids)] * len(own))
+                starts.extend(i * PATCH * hop for i in range(len(own)))
+                ends.extend(min((i + 1) * PATCH, frames) * hop for i in range(len(own)))
+                patches.extend(own)
+                ids.append(doc)
+                lengths.append(n)
+                media.append(wav(payload))
+                size += len(payload)
+            if ids:
+                yield out()
+
+    return mapped(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), run, "media binary, tensors binary")
+
+
+def read_back(stored_: DataFrame) -> DataFrame:
+    """The columns of stored, but for media and tensors, made from a table of files alone: digests from the media, feature
+    and segments from the tensors."""
+    schema = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, segments array<struct<start_s: double, end_s: double>>"
+    out_schema = stored_.sparkSession.createDataFrame([], schema).schema
+    hop = HOP / OUT_RATE
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark.sql.pandas.types import to_arrow_schema
+
+        arrow = to_arrow_schema(out_schema)
+        per_block = max(1, _CHUNK // HOP)
+        for batch in batches:
+            for one, other in zip(batch.column(0), batch.column(1)):
+                docs = pa.ipc.open_stream(one.as_buffer()).read_next_batch()
+                cut = pa.ipc.open_stream(other.as_buffer()).read_next_batch()
+                values = cut.column(3).to_numpy_ndarray()
+                edges = np.searchsorted(cut.column(0).to_numpy(), np.arange(docs.num_rows + 1))
+                last = cut.column(2).to_numpy()
+                rows = []
+                for i, (doc, n, file) in enumerate(zip(*(c.to_pylist() for c in docs.columns))):
+                    back, _ = unwav(file)
+                    frames = round(last[edges[i + 1] - 1] / hop)
+                    whole = values[edges[i] : edges[i + 1]].reshape(-1, MELS)[:frames]
+                    found = features_of(whole[a : a + per_block] for a in range(0, frames, per_block))
+                    row = {"doc_id": doc, "n_bytes": n, "payload_bytes": len(back), "payload_sha256": hashlib.sha256(back).hexdigest(), "tail_crc32": zlib.crc32(back[-UNIT:])}
+                    rows.append(row | {"media_bytes": len(file), "media_sha256": hashlib.sha256(file).hexdigest(), "feature": found.digest(), "segments": [{"start_s": a * hop, "end_s": b * hop} for a, b in found.spans]})
+                yield pa.RecordBatch.from_pylist(rows, schema=arrow)
+
+    return mapped(stored_.select("media", "tensors"), run, out_schema)

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quayside.llm import audio, langid, mixing, packing, phrases, pii, quality, sharding, simhash, spotsigs
-from quayside.llm.common import table
+from quayside.llm.common import store, table
 
 
 def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -21,7 +21,7 @@ def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = audio.stored(table(spark, sf_dir, "documents"))
+    found = audio.read_back(store(audio.files(table(spark, sf_dir, "documents"))))
     return found.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", F.size("segments").alias("n_segments"))
 
 

@@ -64,3 +64,22 @@ def test_whole_entities(text, kind):
 def test_neighbours_stay_apart():
     assert [x[2] for x in pii.find("call 555-123-4567 123-45-6789")] == ["phone", "ssn"]
     assert [x[2] for x in pii.find("call 1-555-123-4567.")] == ["phone"]
+
+
+def test_audio_query_stores_tensors(spark, odd, empty, monkeypatch, tmp_path):
+    from quayside.llm import queries
+
+    made = []
+    monkeypatch.setattr(queries, "store", lambda df: made.append(store(df)) or made[-1])
+    odd.write.parquet(str(tmp_path / "documents.parquet"))
+    got = queries.op3_audio(spark, str(tmp_path))
+    plain = audio.stored(odd)
+    assert sorted(map(str, got.drop("n_segments").collect())) == sorted(map(str, plain.drop("segments").collect()))
+    patches = 0
+    for r in made[0].collect():
+        kept = pa.ipc.open_stream(bytes(r["tensors"])).read_all()
+        kind = kept.schema.field("tensor").type
+        assert isinstance(kind, pa.FixedShapeTensorType) and list(kind.shape) == [audio.PATCH, audio.MELS]
+        patches += kept.num_rows
+    assert patches == sum(len(r["tensors"]) for r in audio.stored(odd, tensors=True).collect())
+    assert audio.read_back(audio.files(empty)).count() == 0
