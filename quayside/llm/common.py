@@ -6,7 +6,7 @@ import atexit
 import ctypes
 import gc
 import re
-import tempfile
+import threading
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -16,9 +16,13 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quayside.shared import folder as shared_folder
+
 #: Fixed value: the words of every contract are runs of anything but these bytes.
 WORD = r"[^\x20\x09-\x0D]+"
 NO_ID = (1 << 63) - 1
+#: Fixed value: the most buckets that Spark gives a table by default.
+MAX_BUCKETS = 100_000
 
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
@@ -36,12 +40,10 @@ def order_id(col: str = "doc_id") -> Column:
     return F.coalesce(F.col(col).cast("long"), F.lit(NO_ID))
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that the cluster shares (spark.checkpoint.dir); one of our own only where it is unset."""
-    sc = spark.sparkContext
-    if not sc.getCheckpointDir():
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="quayside-"))
-    return sc.getCheckpointDir().rstrip("/")
+def text_key(col: str = "text") -> list[Column]:
+    """t1, t2: 128 bits that tell texts apart; null is the empty text."""
+    text = F.coalesce(F.col(col), F.lit(""))
+    return [F.xxhash64(text).alias("t1"), F.xxhash64(F.lit(1), text).alias("t2")]
 
 
 def _delete(spark: SparkSession, path: str) -> None:
@@ -60,26 +62,57 @@ def _delete_quietly(spark: SparkSession, path: str) -> None:
 _CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
+class _Cleaning:
+    """While any write of a session runs, shuffle files go with the query that made them; then its own setting is back."""
+
+    lock = threading.Lock()
+    open_: dict[SparkSession, tuple[int, str]] = {}
+
+    def __init__(self, spark: SparkSession):
+        self.spark = spark
+
+    def __enter__(self) -> None:
+        with self.lock:
+            n, was = self.open_.get(self.spark, (0, self.spark.conf.get(_CLEAN, "false")))
+            self.open_[self.spark] = n + 1, was
+            self.spark.conf.set(_CLEAN, "true")
+
+    def __exit__(self, *_: object) -> None:
+        with self.lock:
+            n, was = self.open_.pop(self.spark)
+            if n > 1:
+                self.open_[self.spark] = n - 1, was
+            else:
+                self.spark.conf.set(_CLEAN, was)
+
+
 class Stored:
     """A DataFrame written as Parquet to the shared folder: it cuts the lineage and survives lost executors.
 
     The shuffle files of the write go when it ends, as nothing can read them any more. drop() deletes the table as soon
-    as nothing will read it; the rest goes when the driver exits."""
+    as nothing will read it; the rest goes when the driver exits.
+
+    With keys, it is a table bucketed by them, into as many buckets as the session has shuffle partitions: what joins it on
+    the keys comes to its rows, which aren't shuffled again."""
 
-    def __init__(self, df: DataFrame):
+    def __init__(self, df: DataFrame, keys: list[str] | None = None):
         self.spark = df.sparkSession
-        self.path = f"{shared_folder(self.spark)}/quayside-{uuid.uuid4().hex}"
-        conf, was = self.spark.conf, self.spark.conf.get(_CLEAN, "false")
-        conf.set(_CLEAN, "true")
-        try:
-            df.write.parquet(self.path)
-        finally:
-            conf.set(_CLEAN, was)
-        self.df = self.spark.read.schema(df.schema).parquet(self.path)
+        self.name = f"quayside_{uuid.uuid4().hex}"
+        self.path = f"{shared_folder(self.spark)}/{self.name}"
+        self.bucketed = keys is not None
+        with _Cleaning(self.spark):
+            if keys:
+                n = min(int(self.spark.conf.get("spark.sql.shuffle.partitions")), MAX_BUCKETS)
+                df.write.bucketBy(n, *keys).option("path", self.path).option("compression", "zstd").saveAsTable(self.name)
+            else:
+                df.write.parquet(self.path)
+        self.df = self.spark.table(self.name) if keys else self.spark.read.schema(df.schema).parquet(self.path)
         self._hook = lambda s=self.spark, p=self.path: _delete_quietly(s, p)
         atexit.register(self._hook)
 
     def drop(self) -> None:
+        if self.bucketed:
+            self.spark.sql(f"DROP TABLE IF EXISTS {self.name}")
         _delete(self.spark, self.path)
         atexit.unregister(self._hook)
 
