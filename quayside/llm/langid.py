@@ -1,12 +1,14 @@
 """Language identification: multinomial naive Bayes over hashed character n-grams.
 
-Texts are lowered, everything but letters counts as a space, and n-grams of one to three characters are hashed
-into DIM counters. Training adds up one vector a language in every task, then in two steps; the log-probabilities
-(languages x DIM floats) are broadcast, and documents are scored by one product of a batch's counts with them.
+Texts are lowered, everything but letters (of any plane) counts as a space, and n-grams of one to three characters are
+hashed into DIM counters. A batch's counts are a sparse matrix in compressed rows: for each text the counters that it has
+and how often. Training adds whole numbers, one vector a language in every task, then in two steps; the log-probabilities
+(languages x DIM floats) are broadcast, and a text's score in a language is the sum of its counts times that row's entries.
 
 Nulls: a text that is null or without a letter is `und` with score 0, as are all where nothing could be learned.
 Rows without a language aren't learned from. Repeated rows count again. Equal scores go to the first language by
-code point. An empty table gives an empty result.
+code point. A long text is a batch of its own; it has DIM counters at most. An empty table gives an empty result. Other
+columns are passed through if they are named in keep; a clash with lang_pred or score is an error.
 """
 
 from __future__ import annotations
@@ -26,7 +28,6 @@ DIM = 1 << 14
 ORDERS = (1, 2, 3)
 #: Languages at most; the broadcast matrix has a row for each.
 MAX_LANGUAGES = 1000
-_BATCH = 256
 _FOLD = 512
 
 
@@ -35,11 +36,29 @@ def held_out(col: str = "doc_id") -> Column:
     return F.crc32(F.coalesce(F.col(col).cast("string"), F.lit("")).cast("binary")) % 4 == 2
 
 
-def counts(texts: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """First row, counts (rows x DIM) and whether each row has a letter, in batches of rows."""
+@dataclass(frozen=True)
+class Counts:
+    """Rows of counters: row i has times[borders[i] : borders[i + 1]] in the columns at the same places."""
+
+    columns: np.ndarray
+    times: np.ndarray
+    borders: np.ndarray
+    has_letter: np.ndarray
+
+    def dot(self, vector: np.ndarray) -> np.ndarray:
+        """The product with a vector of DIM entries; rows without counters have 0."""
+        out = np.zeros(len(self.borders) - 1)
+        some = self.borders[1:] > self.borders[:-1]
+        if some.any():
+            out[some] = np.add.reduceat(vector[self.columns] * self.times, self.borders[:-1][some])
+        return out
+
+
+def counts(texts: pa.Array) -> Iterator[tuple[int, Counts]]:
+    """First row and counts of the texts, in batches of rows."""
     for a, b in text_slices(texts):
         codes, borders = code_points(texts.slice(a, b - a), lower=True)
-        is_letter = letters()[codes]
+        is_letter = letters(codes)
         plain = np.where(is_letter, codes, 32).astype(np.uint32)
         hashed = []
         for n in ORDERS:
@@ -49,16 +68,17 @@ def counts(texts: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
                 h ^= h >> np.uint32(15)
             hashed.append(((h * np.uint32(0x85EBCA6B)) >> np.uint32(32 - 14)).astype(np.int64))
         seen = np.concatenate([[0], np.cumsum(is_letter)])
-        has = seen[borders[1:]] > seen[borders[:-1]]
-        for at in range(0, b - a, _BATCH):
-            end = min(b - a, at + _BATCH)
-            out = np.zeros((end - at, DIM), np.float32)
-            for i in range(at, end):
-                first, last = borders[i], borders[i + 1]
-                grams = [h[first : last - n + 1] for n, h in zip(ORDERS, hashed) if last - first >= n]
-                if grams:
-                    out[i - at] = np.bincount(np.concatenate(grams), minlength=DIM)
-            yield a + at, out, has[at:end]
+        columns, times, ends = [], [], [0]
+        for first, last in zip(borders[:-1].tolist(), borders[1:].tolist()):
+            grams = [h[first : last - n + 1] for n, h in zip(ORDERS, hashed) if last - first >= n]
+            if grams:
+                own = np.bincount(np.concatenate(grams), minlength=DIM)
+                at = np.flatnonzero(own)
+                columns.append(at)
+                times.append(own[at])
+            ends.append(ends[-1] + (len(at) if grams else 0))
+        none = [np.zeros(0, np.int64)]
+        yield a, Counts(np.concatenate(columns or none), np.concatenate(times or none), np.array(ends), seen[borders[1:]] > seen[borders[:-1]])
 
 
 @dataclass(frozen=True)
@@ -76,12 +96,15 @@ def train(rows: DataFrame, smoothing: float = 0.5) -> Model:
         docs: dict[str, int] = {}
         for batch in batches:
             langs = np.asarray(batch.column(1).to_pylist(), dtype=object)
-            for at, x, _ in counts(batch.column(0)):
-                here = langs[at : at + len(x)]
+            for at, x in counts(batch.column(0)):
+                here = langs[at : at + len(x.has_letter)]
+                of = np.repeat(np.arange(len(here)), np.diff(x.borders))
                 for lang in set(here.tolist()):
-                    own = x[here == lang]
-                    sums[lang] = sums.get(lang, np.zeros(DIM, np.int64)) + own.sum(axis=0, dtype=np.float64).astype(np.int64)
-                    docs[lang] = docs.get(lang, 0) + len(own)
+                    own = here == lang
+                    mine = own[of]
+                    total = sums.setdefault(lang, np.zeros(DIM, np.int64))
+                    np.add.at(total, x.columns[mine], x.times[mine])
+                    docs[lang] = docs.get(lang, 0) + int(own.sum())
         yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.string()), pa.array(list(docs.values()), pa.int64()), pa.array([s.tobytes() for s in sums.values()], pa.binary())], names=["lang", "docs", "sums"])
 
     def fold(table: pa.Table) -> pa.Table:
@@ -98,7 +121,7 @@ def train(rows: DataFrame, smoothing: float = 0.5) -> Model:
         raise ValueError(f"more than {MAX_LANGUAGES} languages")
     sums = np.array([np.frombuffer(r["sums"], np.int64) for r in found], np.float64).reshape(len(found), DIM) + smoothing
     docs = np.array([r["docs"] for r in found], np.float64)
-    return Model([r["lang"] for r in found], np.log(sums / sums.sum(axis=1, keepdims=True)).astype(np.float32), np.log(docs / docs.sum()) if len(docs) else docs)
+    return Model([r["lang"] for r in found], np.log(sums / sums.sum(axis=1, keepdims=True)), np.log(docs / docs.sum()) if len(docs) else docs)
 
 
 def predict(docs: DataFrame, model: Model, keep: list[str]) -> DataFrame:
@@ -110,16 +133,16 @@ def predict(docs: DataFrame, model: Model, keep: list[str]) -> DataFrame:
         names = np.array([*model.languages, "und"], dtype=object)
         for batch in batches:
             best, score = [], []
-            for _, x, has in counts(batch.column(batch.num_columns - 1)):
+            for _, x in counts(batch.column(batch.num_columns - 1)):
                 if not model.languages:
-                    best += [0] * len(x)
-                    score += [0.0] * len(x)
+                    best += [0] * len(x.has_letter)
+                    score += [0.0] * len(x.has_letter)
                     continue
-                total = x @ model.log_probs.T + model.priors
+                total = np.stack([x.dot(row) for row in model.log_probs], axis=1) + model.priors
                 odds = np.exp(total - total.max(axis=1, keepdims=True))
                 top = total.argmax(axis=1)
-                best += np.where(has, top, len(model.languages)).tolist()
-                score += np.where(has, odds[np.arange(len(x)), top] / odds.sum(axis=1), 0.0).tolist()
+                best += np.where(x.has_letter, top, len(model.languages)).tolist()
+                score += np.where(x.has_letter, 1 / odds.sum(axis=1), 0.0).tolist()
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(names[best].tolist() if best else [], pa.string()), pa.array(score, pa.float64())], names=[*keep, "lang_pred", "score"])
 
     rows = docs.select(*keep, F.col("text").alias("_text"))

@@ -36,7 +36,7 @@ N_OWN = 14
 def line_features(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Features (lines x 3 * N_OWN + 1), line lengths in characters and the len + 1 borders of documents in lines."""
     codes, borders = code_points(texts)
-    kind = classes()[codes]
+    kind = classes(codes)
     n = len(codes)
     breaks = np.flatnonzero(kind == BREAK)
     # a line begins at each document's start and after each break; empty documents have a line too

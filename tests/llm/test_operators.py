@@ -340,9 +340,11 @@ def test_langid(spark, odd, empty):
 
 def test_counts_are_per_document():
     texts = pa.array(["ab", None, "ab cd", "ab"])
-    (_, x, has), = langid.counts(texts)
-    assert (x[0] == x[3]).all() and x[1].sum() == 0 and has.tolist() == [True, False, True, True]
-    assert x[2].sum() == 5 + 4 + 3 and langid.Model([], np.zeros((0, langid.DIM)), np.zeros(0)).languages == []
+    (_, x), = langid.counts(texts)
+    rows = [dict(zip(x.columns[a:b].tolist(), x.times[a:b].tolist())) for a, b in zip(x.borders, x.borders[1:])]
+    assert rows[0] == rows[3] and not rows[1] and x.has_letter.tolist() == [True, False, True, True]
+    assert sum(rows[2].values()) == 5 + 4 + 3 and langid.Model([], np.zeros((0, langid.DIM)), np.zeros(0)).languages == []
+    assert x.dot(np.ones(langid.DIM)).tolist() == [sum(r.values()) for r in rows]
 
 
 def brute_marginals(u, m):
