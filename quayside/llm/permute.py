@@ -4,8 +4,12 @@ from __future__ import annotations
 
 import hashlib
 import hmac
+import unicodedata
+from functools import cache
 
 ROUNDS = 8
+#: Texts with fewer values of their shape than this may be lengthened.
+SMALL = 1 << 24
 
 #: Letters that may stand for each other, by script, case and sound.
 ALPHABETS = [
@@ -51,16 +55,44 @@ def moved(x: int, n: int, key: bytes, label: bytes) -> int:
     return feistel((feistel(x, n, key, label) + 1) % n, n, key, label, back=True) if n > 1 else x
 
 
+def _kind(c: str) -> tuple[str, str, bool] | None:
+    """Category, script (the first word of the name) and whether case can be put on and taken off; None but for letters and digits."""
+    if not c.isalnum():
+        return None
+    return unicodedata.category(c), unicodedata.name(c, "?").split()[0], len(c.upper()) == 1 and c.upper().lower() == c.lower()
+
+
+@cache
+def alphabet(c: str) -> str:
+    """What may stand for c: its list in ALPHABETS, else the letters or digits of its kind and script among the 128 code points
+    around it, else c alone. These sets don't overlap, so a text and its surrogates have one shape."""
+    if c in _PLACE:
+        return ALPHABETS[_PLACE[c][0]]
+    kind, first = _kind(c), ord(c) & ~0x7F
+    near = [d for d in map(chr, range(first, first + 128)) if d not in _PLACE and kind and _kind(d) == kind]
+    return "".join(near) or c
+
+
 def shape(text: str, alphabets: list[str] | None = None) -> list[str]:
-    """The alphabet of each character; one of its own for what has none, which then stays."""
+    """The alphabet of each character."""
     if alphabets:
         return [next((a for a in alphabets if c in a), c) for c in text]
-    return [ALPHABETS[_PLACE[c][0]] if c in _PLACE else c for c in text]
+    return [alphabet(c) for c in text]
+
 
+def move_text(text: str, key: bytes, label: bytes, alphabets: list[str] | None = None, longer: int | None = None) -> str:
+    """Another text of the same shape; two texts never become the same one.
 
-def move_text(text: str, key: bytes, label: bytes, alphabets: list[str] | None = None) -> str:
-    """Another text of the same shape; two texts never become the same one."""
+    With longer, a text whose shape has under SMALL values gets that many letters of its own script before it, and one more
+    at least if there is no other value: so it never stays as it is, and any number of texts finds room."""
     kinds = shape(text, alphabets)
+    n = 1
+    for a in kinds:
+        n *= len(a)
+    if longer is not None and n < SMALL:
+        own = next((a for c, a in zip(text, kinds) if c.isalpha() and len(a) > 1), ALPHABETS[1])
+        more = max(longer, 1 if n == 1 else 0)
+        kinds, text = [own] * more + kinds, own[0] * more + text
     x, n = 0, 1
     for c, a in zip(text, kinds):
         x, n = x * len(a) + a.index(c), n * len(a)
