@@ -192,8 +192,8 @@ def test_audio_signal():
     hop = audio.HOP / audio.OUT_RATE
     assert abs(a * hop - 0.5) < 0.05 and abs(b * hop - 1.25) < 0.05
     x = np.random.default_rng(0).normal(size=4000).astype(np.float32)
-    direct = np.convolve(x, audio.low_pass(1, 2)[0][::-1])[::2][:1500]
-    assert np.allclose(audio.resample(np.concatenate([np.zeros(15, np.float32), x]), 0, 1500), direct, atol=1e-5)
+    direct = np.convolve(x, audio.low_pass(1, 2, 16)[0][::-1])[::2][:1500]
+    assert np.allclose(audio.resample(np.concatenate([np.zeros(15, np.float32), x]), 0, 1500, 1, 2, 16), direct, atol=1e-5)
     up = audio.resample(np.concatenate([np.zeros(7, np.float32), np.ones(500, np.float32)]), 0, 600, 3, 2, 8)
     assert np.allclose(up[50:550], 1, atol=0.05)
     assert audio.tensor_batch(f.patches).type.shape == [audio.PATCH, audio.MELS] and len(audio.tensor_batch([])) == 0
