@@ -1,25 +1,30 @@
-"""Near-duplicates by exact Jaccard similarity: two texts are alike if LEAST of the union of their five-word shingles is shared.
+"""Near-duplicates by exact Jaccard similarity of sets: two texts are alike if LEAST of the union of their sets is shared.
 
-Of two sets that are alike, the first n - ceil(LEAST n) + 1 members of each in any common order share one. So each set
-gets a key for each of these, and pairs that share a key and pass the bounds on sizes and places are compared in full.
-The order puts shingles that are common in a sample of the documents last (a passage of many texts makes no key then)
-and goes by hash otherwise; the result doesn't depend on it. Equal sets meet once.
+The sets are those of five-word shingles unless another function makes them. Of two sets that are alike, the first
+n - ceil(LEAST n) + 1 members of each in any common order share one. So each set gets a key for each of these, and pairs
+that share a key and pass the bounds on sizes and places are compared in full. The order puts members that are common in a
+sample of the documents last (a passage of many texts makes no key then) and goes by hash otherwise; the result doesn't
+depend on it. By size, a key is also cut into partitions of set lengths, of which a set is in its own and the one below:
+sets further apart can't be alike. Equal sets meet once.
 
 Members of a key with over DENSE sets are first compared with one of them, the set with the least before the key;
 after that only pairs that no links connect yet are. A set is its hashes of 64 bits; no link is guessed.
 
 Words are those of simhash: ASCII case and spaces. A text of under five words is one shingle; null, empty and blank
-texts are all alike, as empty sets are. Nulls, repeated rows and the row that stays are as in simhash.one_of_each.
+texts are all alike, as empty sets are. Nulls, ties, repeated rows and the row that stays are as in one_of_each. A task
+holds one text's set at a time and the pairs of one key; an empty table gives an empty result. Columns of docs other than
+doc_id and text are passed through, whatever their names.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import math
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quayside.llm.common import Stored, free_shuffles, mapped, order_id, store
@@ -72,13 +77,21 @@ def _texts(column: pa.Array) -> Iterator[bytes]:
     return (t.as_buffer().to_pybytes() if t.is_valid else b"" for t in column.cast(pa.large_binary()))
 
 
-def common_shingles(keyed: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+#: The sorted distinct hashes of each text of a column.
+SetsOf = Callable[[pa.Array], Iterator[np.ndarray]]
+
+
+def shingle_sets(column: pa.Array) -> Iterator[np.ndarray]:
+    return map(shingles, _texts(column))
+
+
+def common_members(keyed: DataFrame, sets_of: SetsOf) -> tuple[np.ndarray, np.ndarray]:
     """Sorted hashes that are common in a sample, and their counts there."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for text in _texts(batch.column(0)):
-                yield pa.RecordBatch.from_arrays([pa.array(shingles(text).view(np.int64))], names=["sig"])
+            for own in sets_of(batch.column(0)):
+                yield pa.RecordBatch.from_arrays([pa.array(own.view(np.int64))], names=["sig"])
 
     seen = mapped(keyed.filter(F.pmod(F.xxhash64("_ord"), F.lit(SAMPLE)) == 0).select("text"), run, "sig long")
     top = seen.groupBy("sig").count().filter(F.col("count") >= COMMON).orderBy(F.desc("count"), "sig").limit(MOST).toArrow()
@@ -87,15 +100,14 @@ def common_shingles(keyed: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     return sigs[order], counts[order]
 
 
-def with_keys(keyed: DataFrame, common: tuple[np.ndarray, np.ndarray]) -> DataFrame:
+def with_keys(keyed: DataFrame, common: tuple[np.ndarray, np.ndarray], sets_of: SetsOf) -> DataFrame:
     """ord, hash, id (of the set), n (its size) and keys, in order, of each row."""
     sigs, counts = common
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids, ns, keys = [], [], []
-            for text in _texts(batch.column(2)):
-                own = shingles(text)
+            for own in sets_of(batch.column(2)):
                 n = len(own)
                 ids.append(xxhash.xxh64_intdigest(own.tobytes(), SEED))
                 ns.append(n)
@@ -147,13 +159,13 @@ def _pairs(groups: DataFrame, stars: bool) -> DataFrame:
     return mapped(groups.select("members"), run, "u long, v long").distinct()
 
 
-def _linked(pairs: DataFrame, keyed: DataFrame, firsts: DataFrame) -> DataFrame:
+def _linked(pairs: DataFrame, keyed: DataFrame, firsts: DataFrame, sets_of: SetsOf) -> DataFrame:
     """The pairs that are alike. firsts: id, ord, hash of the row that a set's text is taken from."""
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for i, text in enumerate(_texts(batch.column(1))):
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, 1), pa.array([shingles(text).view(np.int64)], pa.list_(pa.int64()))], names=["id", "sigs"])
+            for i, own in enumerate(sets_of(batch.column(1))):
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, 1), pa.array([own.view(np.int64)], pa.list_(pa.int64()))], names=["id", "sigs"])
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -173,32 +185,50 @@ def _linked(pairs: DataFrame, keyed: DataFrame, firsts: DataFrame) -> DataFrame:
     return out.df
 
 
-def links(keyed: DataFrame, rows: DataFrame) -> DataFrame:
+def size_partition(n: str) -> Column:
+    """Of set lengths from 1 on, in geometric steps a little wider than 1 / LEAST, so that rounding can't part sets that are alike."""
+    return F.floor(F.log(F.col(n).cast("double")) / math.log(1.01 * LEAST[1] / LEAST[0])).cast("int")
+
+
+def links(keyed: DataFrame, rows: DataFrame, sets_of: SetsOf, by_size: bool) -> DataFrame:
     """u, v (u > v): edges that connect what similarity connects. rows: the stored table of with_keys."""
     sets = rows.groupBy("id").agg(F.min(F.struct("ord", "hash", "n", "keys")).alias("x"))
     firsts = rows.groupBy("id").agg(F.min(F.struct("ord", "hash")).alias("x")).select("id", "x.ord", "x.hash")
+    part = size_partition("n")
     keys = sets.select("id", "x.n", F.posexplode("x.keys").alias("place", "key"))
+    keys = keys.withColumn("part", F.explode(F.array(part, part - 1)) if by_size else F.lit(0))
     # a group's roots are its members themselves at first
     member = lambda root: F.struct("id", "n", "place", F.col(root).alias("root"))
-    groups = Stored(keys.groupBy("key").agg(F.collect_list(member("id")).alias("members")).filter(F.size("members") > 1))
-    found = _linked(_pairs(groups.df, True), keyed, firsts)
+    groups = Stored(keys.groupBy("key", "part").agg(F.collect_list(member("id")).alias("members")).filter(F.size("members") > 1))
+    found = _linked(_pairs(groups.df, True), keyed, firsts, sets_of)
     large = groups.df.filter(F.size("members") > DENSE)
     if not large.isEmpty():
         roots = components(found)
-        parts = large.select("key", F.explode("members").alias("m")).select("key", "m.id", "m.n", "m.place")
+        parts = large.select("key", "part", F.explode("members").alias("m")).select("key", "part", "m.id", "m.n", "m.place")
         parts = parts.join(roots.withColumnRenamed("node", "id"), "id", "left").withColumn("root", F.coalesce("root", "id"))
-        again = parts.groupBy("key").agg(F.collect_list(member("root")).alias("members"), F.min("root").alias("a"), F.max("root").alias("b")).filter("a < b")
-        found = found.unionByName(_linked(_pairs(again, False), keyed, firsts))
+        again = parts.groupBy("key", "part").agg(F.collect_list(member("root")).alias("members"), F.min("root").alias("a"), F.max("root").alias("b")).filter("a < b")
+        found = found.unionByName(_linked(_pairs(again, False), keyed, firsts, sets_of))
     groups.drop()
     free_shuffles(rows.sparkSession)
     return found
 
 
+def classes(docs: DataFrame, sets_of: SetsOf = shingle_sets, by_size: bool = False) -> DataFrame:
+    """ord, hash (of the text), first: a row for each different pair of ord and hash of docs; first has the least ord and hash
+    that links reach. Stored."""
+    texts = docs.select(order_id().alias("_ord"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("_hash"), "text")
+    rows = Stored(with_keys(texts, common_members(texts, sets_of), sets_of))
+    found = components(links(texts, rows.df, sets_of, by_size)).withColumnRenamed("node", "id")
+    rooted = rows.df.select("id", "ord", "hash").distinct().join(found, "id", "left").withColumn("root", F.coalesce("root", "id"))
+    first = rooted.groupBy("root").agg(F.min(F.struct("ord", "hash")).alias("first"))
+    out = store(rooted.join(first, "root").select("ord", "hash", "first"))
+    rows.drop()
+    return out
+
+
 def one_of_each(docs: DataFrame) -> DataFrame:
-    """docs without near-duplicates: of each component the row with the least id (of equal ids the least hash of its text) stays."""
-    keyed = docs.withColumn("_ord", order_id()).withColumn("_hash", F.xxhash64(F.coalesce("text", F.lit(""))))
-    texts = keyed.select("_ord", "_hash", "text")
-    rows = store(with_keys(texts, common_shingles(texts)))
-    found = components(links(texts, rows)).withColumnRenamed("node", "id")
-    best = rows.select("id", "ord", "hash").join(found, "id", "left").groupBy(F.coalesce("root", "id")).agg(F.min(F.struct("ord", "hash")).alias("best")).select(F.col("best.ord").alias("_ord"), F.col("best.hash").alias("_hash"))
-    return keyed.join(best, ["_ord", "_hash"]).dropDuplicates(["_ord", "_hash"]).select(*docs.columns)
+    """docs without near-duplicates: of each component the row with the least id stays, of equal ids that with the least hash
+    of its text, of repeated rows any one."""
+    best = classes(docs).select("first").distinct().select(F.col("first.ord").alias("ord"), F.col("first.hash").alias("hash"))
+    whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), order_id().alias("ord"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("hash"))
+    return whole.join(best, ["ord", "hash"]).dropDuplicates(["ord", "hash"]).select("row.*")

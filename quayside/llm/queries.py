@@ -53,7 +53,8 @@ def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_spotsigs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spotsigs.with_successors(table(spark, sf_dir, "documents"))
+    docs = table(spark, sf_dir, "documents")
+    return spotsigs.with_successors(docs, classes=spotsigs.classes(docs))
 
 
 def tokenizer_path() -> str:

@@ -5,30 +5,30 @@ fingerprint is the sorted set of its signatures' 32-bit hashes, eight hex digits
 similarity of two sets. Where no signature forms, every word is an anchor; a text without words has the empty
 fingerprint, and two empty ones are alike (1).
 
-Matching cuts the sets' sizes into partitions so that only sets of one partition or of neighbours can reach the
-threshold, joins them on their rarest signatures (a pair at threshold t shares one among the first
-n - ceil(t * n) + 1), and verifies the Jaccard similarity of sets whose sizes allow it. Equal sets meet once.
+Matching (classes) is that of nearsets on these sets: keys of a set's rarest signatures, cut into partitions of set lengths,
+pairs pruned by sizes and places, the rest compared in full, and connected. Equal sets meet once and are of one class, as
+all empty ones are.
 
 For a document's successor the ids are cut into ranges by their quantiles, and the first document of a range is also
-sent to the range before; a task streams its ranges in order. Texts move once.
+sent to the range before; a task streams its ranges in order. Texts move once, and classes come with them.
 
 Nulls: a null text is empty; in descending order of ids a null id comes last, and repeated ids follow each other by
-their texts' hashes. A single document is its own successor. An
-empty table gives an empty result.
+their texts' hashes. A single document is its own successor. Long texts are whole in their task. An empty table gives an
+empty result. Columns other than doc_id and text aren't read.
 """
 
 from __future__ import annotations
 
 import hashlib
-import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quayside.llm.common import Stored, mapped, mix64, text_bytes, text_slices, word_hashes, word_spans
+from quayside.llm import nearsets
+from quayside.llm.common import NO_ID, mapped, mix64, text_bytes, text_slices, word_hashes, word_spans
 
 CHAIN = 2
 #: Ranges of ids at most; the driver holds a bound for each.
@@ -140,34 +140,18 @@ def fingerprints(docs: DataFrame, keep: list[str]) -> DataFrame:
     return mapped(rows, run, f"{schema}, sigs array<long>")
 
 
-def size_partition(n: str, least: float) -> Column:
-    """Sizes from 1 on in geometric steps of 1 / least: sets two partitions apart can't reach the threshold."""
-    return F.floor(F.log(F.col(n).cast("double")) / F.lit(-math.log(least))).cast("int")
-
-
-def matches(rows: DataFrame, least: float = 0.8) -> DataFrame:
-    """rows: id, sigs. a, b, likeness of the representatives (least id) of different sets at least so alike, and
-    a = b, likeness 1 for each set; members of a set are those with its representative's sigs."""
-    sets = Stored(rows.filter(F.size("sigs") > 0).groupBy("sigs").agg(F.min("id").alias("id")).withColumn("n", F.size("sigs")))
-    rarity = Stored(sets.df.select(F.explode("sigs").alias("sig")).groupBy("sig").agg(F.count("*").alias("df")).filter("df > 1"))
-    shared = sets.df.select("id", "n", F.explode("sigs").alias("sig")).join(rarity.df, "sig", "left").withColumn("df", F.coalesce("df", F.lit(1)))
-    first = F.col("n") - F.ceil(F.lit(least) * F.col("n")) + 1
-    ranked = shared.groupBy("id", "n").agg(F.sort_array(F.collect_list(F.struct("df", "sig"))).alias("s")).select("id", "n", F.explode(F.slice("s", F.lit(1), first.cast("int"))).alias("t"))
-    keys = ranked.filter("t.df > 1").select("id", "n", F.col("t.sig").alias("sig"), size_partition("n", least).alias("part"))
-    near = keys.withColumn("part", F.explode(F.array("part", F.col("part") - 1)))
-    left, right = keys.select("sig", "part", F.col("id").alias("a"), F.col("n").alias("na")), near.select("sig", "part", F.col("id").alias("b"), F.col("n").alias("nb"))
-    sized = (F.col("na") <= F.col("nb")) & (F.col("na") >= least * F.col("nb")) & ((F.col("na") < F.col("nb")) | (F.col("a") < F.col("b")))
-    pairs = left.join(right, ["sig", "part"]).filter(sized).select("a", "b").distinct()
-    sa, sb = sets.df.select(F.col("id").alias("a"), F.col("sigs").alias("sa")), sets.df.select(F.col("id").alias("b"), F.col("sigs").alias("sb"))
-    both = F.size(F.array_intersect("sa", "sb"))
-    likeness = both / (F.size("sa") + F.size("sb") - both)
-    return pairs.join(sa, "a").join(sb, "b").select("a", "b", likeness.alias("likeness")).filter(F.col("likeness") >= least)
-
-
-def _ranged(docs: DataFrame, most: int) -> DataFrame:
-    """docs (ord, mark) with range, the place of ord's range in descending order, and extra: true for the first rows of the
+def wide_sets(column: pa.Array) -> Iterator[np.ndarray]:
+    return (s.astype(np.uint64) for s in signature_sets(column))
+
+
+def classes(docs: DataFrame) -> DataFrame:
+    """ord, hash, first of nearsets.classes, by likeness 0.8 or more of signature sets."""
+    return nearsets.classes(docs, wide_sets, by_size=True)
+
+
+def _ranged(docs: DataFrame, ids: DataFrame, most: int) -> DataFrame:
+    """docs (ord, whose values are ids.ord) with range, the place of ord's range in descending order, and extra: true for the first rows of the
     next range (of the first one after the last), which are there a second time."""
-    ids = docs.select("ord")
     rows = ids.count()
     n = max(1, min(most, rows // 500))
     cuts = ids.agg(F.percentile_approx("ord", [i / n for i in range(1, n)], 50 * n)).first()[0] if n > 1 else []
@@ -200,26 +184,36 @@ def edited_text(text: str, after: str) -> str:
     return text[: len(text) - half] + after[:half]
 
 
-def with_successors(docs: DataFrame, chain: int = CHAIN, ranges: int = RANGES) -> DataFrame:
-    """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next of every row of docs."""
+def with_successors(docs: DataFrame, chain: int = CHAIN, ranges: int = RANGES, classes: DataFrame | None = None) -> DataFrame:
+    """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next of every row of docs; with
+    classes also class_id, the least id of its class."""
     kind = docs.schema["doc_id"].dataType.simpleString()
     low = F.lit(-(1 << 63))  # descending order: a null id comes last
-    rows = docs.select("doc_id", F.coalesce(F.col("doc_id").cast("long"), low).alias("ord"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("mark"), F.coalesce("text", F.lit("")).alias("text"))
-    placed = _ranged(rows, ranges)
-    names = ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"]
+    none = F.lit(None).cast("long")
+    text = F.coalesce("text", F.lit(""))
+    rows = docs.select("doc_id", F.coalesce(F.col("doc_id").cast("long"), low).alias("ord"), F.xxhash64(text).alias("mark"), text.alias("text"), F.lit(True).alias("doc"), none.alias("class"))
+    both = rows
+    if classes is not None:  # a row before the documents that it is for
+        at = F.when(F.col("ord") == NO_ID, low).otherwise(F.col("ord"))
+        first = F.when(F.col("first.ord") != NO_ID, F.col("first.ord"))
+        both = rows.unionByName(classes.select(F.lit(None).cast(kind).alias("doc_id"), at.alias("ord"), F.col("hash").alias("mark"), F.lit("").alias("text"), F.lit(False).alias("doc"), first.alias("class")))
+    placed = _ranged(both, rows.select("ord"), ranges)
+    names = ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"] + ["class_id"] * (classes is not None)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last: tuple | None = None  # range, doc_id, text, set, of the row that waits for its successor
+        last: tuple | None = None  # range, doc_id, text, set, class of the row that waits for its successor
+        own_class = None
 
         def out(ready: list[tuple]) -> pa.RecordBatch:
-            edited = [edited_text(r[1], r[3]) for r in ready]
+            edited = [edited_text(r[1], r[4]) for r in ready]
             sets = signature_sets(pa.array(edited, pa.string()), chain)
             columns = [
                 pa.array([r[0] for r in ready], doc_type), pa.array([len(r[1]) for r in ready], pa.int64()), pa.array([hashlib.sha256(e.encode()).hexdigest() for e in edited]),
                 pa.array([digits(r[2]) for r in ready]), pa.array([digits(s) for s in sets]),
-                pa.array([jaccard(r[2], s) for r, s in zip(ready, sets)]), pa.array([jaccard(r[2], r[4]) for r in ready]),
+                pa.array([jaccard(r[2], s) for r, s in zip(ready, sets)]), pa.array([jaccard(r[2], r[5]) for r in ready]), pa.array([r[3] for r in ready], pa.int64()),
             ]
-            return pa.RecordBatch.from_arrays([c.cast(k) for c, k in zip(columns, [doc_type, pa.int64(), *[pa.string()] * 3, *[pa.float64()] * 2])], names=names)
+            kinds = [doc_type, pa.int64(), *[pa.string()] * 3, *[pa.float64()] * 2, pa.int64()]
+            return pa.RecordBatch.from_arrays([c.cast(k) for c, k in zip(columns, kinds)][: len(names)], names=names)
 
         for whole in batches:
             doc_type = whole.schema.field(1).type
@@ -227,12 +221,16 @@ def with_successors(docs: DataFrame, chain: int = CHAIN, ranges: int = RANGES) -
                 batch = whole.slice(a, b - a)
                 sets = signature_sets(batch.column(3), chain)
                 ready = []
-                for at, extra, doc, text, own in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), batch.column(1).to_pylist(), batch.column(3).to_pylist(), sets):
+                for (at, doc, extra, text, is_doc, of), own in zip(zip(*(c.to_pylist() for c in batch.columns)), sets):
+                    if not is_doc:
+                        own_class = of
+                        continue
                     if last is not None and last[0] == at:
-                        ready.append((last[1], last[2], last[3], text, own))
-                    last = None if extra else (at, doc, text, own)
+                        ready.append((*last[1:], text, own))
+                    last = None if extra else (at, doc, text, own, own_class)
                 if ready:
                     yield out(ready)
 
-    ordered = placed.repartition("range").sortWithinPartitions("range", "extra", F.desc("ord"), "mark").select("range", "doc_id", "extra", "text")
-    return mapped(ordered, run, f"doc_id {kind}, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
+    ordered = placed.repartition("range").sortWithinPartitions("range", "extra", F.desc("ord"), "mark", "doc").select("range", "doc_id", "extra", "text", "doc", "class")
+    schema = f"doc_id {kind}, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
+    return mapped(ordered, run, schema + ", class_id long" * (classes is not None))

@@ -509,21 +509,43 @@ def test_signatures():
     assert spotsigs.jaccard(sets[3], sets[4]) == 1.0 and spotsigs.jaccard(sets[0], sets[3]) == 0.0
 
 
-def test_matches(spark, corpus, empty):
-    rows = spotsigs.fingerprints(corpus.withColumnRenamed("doc_id", "id"), ["id"])
-    sets = {}
-    for r in sorted(table(rows), key=lambda r: r["id"]):
-        if r["sigs"]:
-            sets.setdefault(tuple(r["sigs"]), r["id"])
-    want = set()
-    items = [(i, {*s}) for s, i in sets.items()]
-    for k, (i, a) in enumerate(items):
-        for j, b in items[:k]:
-            if len(a & b) / len(a | b) >= 0.8:
-                want.add((min(i, j), max(i, j)))
-    got = [(min(r["a"], r["b"]), max(r["a"], r["b"])) for r in table(spotsigs.matches(rows, 0.8))]
-    assert sorted(got) == sorted(want) and want
+@pytest.mark.parametrize("dense", [32, 2])
+@pytest.mark.parametrize("name", ["odd", "corpus"])
+def test_classes(spark, request, monkeypatch, tmp_path, name, dense):
+    """class_id of the registered query against all pairs of sets, connected."""
+    from quayside.llm import nearsets, queries
+
+    monkeypatch.setattr(nearsets, "DENSE", dense)
+    docs = request.getfixturevalue(name)
+    rows = table(docs)
+    sets = [set(s.tolist()) for s in spotsigs.signature_sets(pa.array([r["text"] for r in rows], pa.string()))]
+    root = list(range(len(rows)))
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i, a in enumerate(sets):
+        for j, b in enumerate(sets[:i]):
+            if len(a & b) >= 0.8 * len(a | b):
+                root[find(i)] = find(j)
+    least = defaultdict(list)
+    for i, r in enumerate(rows):
+        least[find(i)].append(r["doc_id"] if r["doc_id"] is not None else 1 << 63)
+    want = Counter((r["doc_id"], r["text"] or "", min(least[find(i)]) % (1 << 63) if min(least[find(i)]) < 1 << 63 else None) for i, r in enumerate(rows))
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    found = queries.op9_spotsigs(spark, str(tmp_path))
+    by_key = defaultdict(list)
+    for r in rows:
+        by_key[r["doc_id"], len(r["text"] or ""), spotsigs.digits(spotsigs.signature_sets(pa.array([r["text"] or ""]))[0])].append(r["text"] or "")
+    got = Counter((r["doc_id"], by_key[r["doc_id"], r["n_chars"], r["fingerprint"]].pop(), r["class_id"]) for r in table(found))
+    assert got == want and len(set(k[2] for k in want)) < len(rows)
+
+
+def test_no_documents(spark, empty):
     assert spotsigs.with_successors(empty).count() == 0
+    assert spotsigs.with_successors(empty, classes=spotsigs.classes(empty)).count() == 0
 
 
 # --- 10 --------------------------------------------------------------------------------------------------------------
