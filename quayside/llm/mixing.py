@@ -216,15 +216,18 @@ def mix_stage(docs: DataFrame, weights: tuple[float, ...] = (1, 2, 3), limit: fl
     """The mixed documents with the columns of docs: a document that the mix takes k times whole is there k times,
     and once more with its first words if the schedule's end or a block's edge takes only a part of it.
 
-    Documents without words are in no block and so not in the mix."""
+    Documents without words are in no block and so not in the mix. Rows that share id, text and source are one row taken more
+    often; where their other columns differ, those of one of them hold. Names of other columns may be any."""
     base = sized(docs)
     plan = plan_for(base, weights, limit)
-    took = taken_words(base, plan).groupBy("ord", "text_hash", "source", "size").agg(F.sum("taken").alias("taken"), F.count("*").alias("same")).filter("taken > 0")
-    took = took.select(F.col("ord").alias("_ord"), F.col("text_hash").alias("_hash"), F.col("source").alias("_source"), F.col("size").alias("_size"), F.col("taken").alias("_taken"))
-    keyed = docs.withColumn("_o", order_id()).withColumn("_h", F.xxhash64(F.coalesce("text", F.lit("")))).dropDuplicates(["_o", "_h", "source"])
-    on = (F.col("_o") == F.col("_ord")) & (F.col("_h") == F.col("_hash")) & F.col("source").cast("string").eqNullSafe(F.col("_source"))
-    whole, rest = F.expr("_taken div _size"), F.expr("_taken % _size")
-    out = keyed.join(took, on).withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), whole + (rest > 0).cast("long"))))
-    words = F.regexp_extract_all("text", F.lit(r"[\x20\x09-\x0D]*" + WORD), F.lit(0))
-    text = F.when(F.col("_copy") > whole, F.array_join(F.slice(words, 1, rest.cast("int")), "")).otherwise(F.col("text"))
-    return out.withColumn("text", text).withColumn("n_chars", F.length("text").cast(dict(docs.dtypes).get("n_chars", "long"))).select(*docs.columns)
+    key = ["ord", "text_hash", "source"]
+    took = taken_words(base, plan).groupBy(*key, "size").agg(F.sum("taken").alias("taken")).filter("taken > 0")
+    whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
+    keyed = docs.select(whole, order_id().alias("ord"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_hash"), F.col("source").cast("string").alias("own")).dropDuplicates(["ord", "text_hash", "own"])
+    rows = keyed.join(took, [keyed.ord == took.ord, keyed.text_hash == took.text_hash, keyed.own.eqNullSafe(took.source)]).select("row", "taken", "size")
+    times, rest = F.expr("taken div size"), F.expr("taken % size")
+    rows = rows.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), times + (rest > 0).cast("long"))))
+    words = F.regexp_extract_all("row.text", F.lit(r"[\x20\x09-\x0D]*" + WORD), F.lit(0))
+    text = F.when(F.col("copy") > times, F.array_join(F.slice(words, 1, rest.cast("int")), "")).otherwise(F.col("row.text"))
+    made = {"text": text, "n_chars": F.length(text).cast(dict(docs.dtypes).get("n_chars", "long"))}
+    return rows.select(*[made.get(c, F.col("row").getField(c)).alias(c) for c in docs.columns])
