@@ -5,12 +5,15 @@ that repeat the one, two or three before, repeated lines, place). A chain of two
 its likelihood on lines that take their document's label. Forward-backward marginals, weighted by line length, give
 the document's raw score, and a logistic curve fitted on the same rows turns it into the score.
 
-Only the fit uses labels, on at most SAMPLE documents a label (the least hashes of the id); lines of all documents
-are scored, from the text alone.
+Only the fit uses labels, on at most SAMPLE documents and LINES lines a label (the least hashes of the id; a document that
+has more lines than are left is passed over); lines of all documents are scored, from the text alone. The fit runs on the
+driver, which holds the features of those lines, 172 bytes each.
 
 Nulls: a null or empty text is one empty line and gets that line's score. Without labelled rows of both labels
-there is nothing to tell apart: every score is 1 (or 0 if all labels are 0). Repeated rows get equal scores. An
-empty table gives an empty result.
+there is nothing to tell apart: every score is 1 (or 0 if all labels are 0). Repeated rows get equal scores; rows that
+share an id and a label are learned from once (the one with the least hash of its text), an id with both labels as both.
+Long texts are scored whole, line by line. An empty table gives an empty result. Other columns are passed through; of
+keep, a column named score is an error.
 """
 
 from __future__ import annotations
@@ -24,11 +27,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quayside.llm.chars import BREAK, CRY, DIGIT, LOWER, N_CLASSES, POINT, SPACE, SYMBOL, UPPER, classes, code_points
-from quayside.llm.common import mapped, span_hashes, text_slices
+from quayside.llm.common import Stored, mapped, span_hashes, text_slices
 from quayside.llm.langid import held_out
 
 #: Labelled documents a label that the chain is fitted on at most.
 SAMPLE = 1500
+#: Their lines, a label, at most.
+LINES = 100_000
 THRESHOLD = 0.7
 N_OWN = 14
 
@@ -205,20 +210,38 @@ def score_texts(texts: pa.Array, model: Model) -> np.ndarray:
     return np.concatenate(out) if out else np.zeros(0)
 
 
-def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
+def _within(sizes: list[tuple[int, int, int]], most: int) -> list[tuple[int, int]]:
+    """sizes: label, id, lines, in the order of choice. The (label, id) that fit into most lines a label."""
+    left: dict[int, int] = {}
+    out = []
+    for label, id_, n in sizes:
+        if n <= left.setdefault(label, most):
+            left[label] -= n
+            out.append((label, id_))
+    return out
+
+
+def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, lines: int = LINES) -> Model:
     """labels: doc_id, quality; rows of a held-out id, without an id or without a 0/1 label are never read from."""
-    usable = labels.filter(F.col("doc_id").isNotNull() & ~held_out() & F.col("quality").isin(0, 1)).select(F.col("doc_id").cast("long").alias("_id"), F.col("quality").cast("int").alias("_label"))
-    pick = lambda label: usable.filter(F.col("_label") == label).distinct().orderBy(F.xxhash64("_id"), "_id").limit(sample)
-    chosen = docs.join(F.broadcast(pick(0).unionByName(pick(1))), F.col("doc_id").cast("long") == F.col("_id")).select(F.col("text").alias("_text"), "_label")
+    usable = labels.filter(F.col("doc_id").isNotNull() & ~held_out() & F.col("quality").isin(0, 1)).select(F.col("doc_id").cast("long").alias("id"), F.col("quality").cast("int").alias("label"))
+    pick = lambda label: usable.filter(F.col("label") == label).distinct().orderBy(F.xxhash64("id"), "id").limit(sample)
+    mine = docs.select(F.col("doc_id").cast("long").alias("id"), F.coalesce("text", F.lit("")).alias("text"))
+    chosen = mine.join(F.broadcast(pick(0).unionByName(pick(1))), "id")
+    one = chosen.groupBy("id", "label").agg(F.min(F.struct(F.xxhash64("text").alias("h"), "text")).alias("x")).select("x.text", "label", "id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             features, lengths, borders = line_features(batch.column(0))
             raw = [features[a:b].astype(np.float32).tobytes() for a, b in zip(borders, borders[1:])]
             sizes = [lengths[a:b].tobytes() for a, b in zip(borders, borders[1:])]
-            yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(raw, pa.binary()), pa.array(sizes, pa.binary())], names=["label", "features", "lengths"])
-
-    rows = mapped(chosen, run, "label int, features binary, lengths binary").collect()
+            columns = [batch.column(1), batch.column(2), pa.array(np.diff(borders), pa.int64()), pa.array(raw, pa.binary()), pa.array(sizes, pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, names=["label", "id", "n", "features", "lengths"])
+
+    kept = Stored(mapped(one, run, "label int, id long, n long, features binary, lengths binary"))
+    sizes = [tuple(r) for r in kept.df.orderBy(F.xxhash64("id"), "id").select("label", "id", "n").collect()]
+    fitting = docs.sparkSession.createDataFrame(_within(sizes, lines), "label int, id long")
+    rows = kept.df.join(F.broadcast(fitting), ["label", "id"]).select("label", "features", "lengths").collect()
+    kept.drop()
     rows.sort(key=lambda r: (r["label"], bytes(r["features"])))
     y = np.array([r["label"] for r in rows], np.int64)
     if len(set(y.tolist())) < 2:
