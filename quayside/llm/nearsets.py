@@ -5,7 +5,8 @@ n - ceil(LEAST n) + 1 members of each in any common order share one. So each set
 that share a key and pass the bounds on sizes and places are compared in full. The order puts members that are common in a
 sample of the documents last (a passage of many texts makes no key then) and goes by hash otherwise; the result doesn't
 depend on it. By size, a key is also cut into partitions of set lengths, of which a set is in its own and the one below:
-sets further apart can't be alike. Equal sets meet once.
+sets further apart can't be alike. Before that, a pair's parities (2,048 bits a set) must leave room for what they would
+share. Equal sets meet once.
 
 Members of a key with over DENSE sets are first compared with one of them, the set with the least before the key;
 after that only pairs that no links connect yet are. A set is its hashes of 64 bits; no link is guessed.
@@ -39,6 +40,8 @@ DENSE = 32
 SAMPLE, COMMON, MOST = 16, 8, 100_000
 #: Ids that are broadcast at most to pick the documents to compare.
 _PICKED = 500_000
+#: Bits of a set's parities.
+PARITIES = 2048
 _STEP = 1 << 15
 _PAIRS = 1 << 18
 
@@ -73,6 +76,12 @@ def alike(a: np.ndarray, b: np.ndarray) -> bool:
     return LEAST[1] * shared >= LEAST[0] * (len(both) - shared)
 
 
+def parities(own: np.ndarray) -> np.ndarray:
+    """PARITIES bits, in longs: of the members that fall on a bit, whether their number is odd."""
+    odd = np.bincount((own % np.uint64(PARITIES)).astype(np.int64), minlength=PARITIES) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view(np.int64)
+
+
 def _texts(column: pa.Array) -> Iterator[bytes]:
     return (t.as_buffer().to_pybytes() if t.is_valid else b"" for t in column.cast(pa.large_binary()))
 
@@ -165,7 +174,8 @@ def _linked(pairs: DataFrame, keyed: DataFrame, firsts: DataFrame, sets_of: Sets
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i, own in enumerate(sets_of(batch.column(1))):
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, 1), pa.array([own.view(np.int64)], pa.list_(pa.int64()))], names=["id", "sigs"])
+                columns = [pa.array([len(own)], pa.int32()), pa.array([parities(own)], pa.list_(pa.int64())), pa.array([own.view(np.int64)], pa.list_(pa.int64()))]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, 1), *columns], names=["id", "n", "bits", "sigs"])
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -176,11 +186,17 @@ def _linked(pairs: DataFrame, keyed: DataFrame, firsts: DataFrame, sets_of: Sets
     picked = Stored(asked.df.select(F.explode(F.array("u", "v")).alias("id")).distinct().join(firsts, "id"))
     few = F.broadcast(picked.df) if picked.df.count() <= _PICKED else picked.df
     texts = keyed.join(few, (F.col("_ord") == F.col("ord")) & (F.col("_hash") == F.col("hash"))).select("id", "text")
-    found = Stored(mapped(texts, sets, "id long, sigs array<long>"))
-    one = found.df.dropDuplicates(["id"])  # rows can be repeated
-    both = asked.df.join(one.select(F.col("id").alias("u"), F.col("sigs").alias("a")), "u").join(one.select(F.col("id").alias("v"), F.col("sigs").alias("b")), "v").select("u", "v", "a", "b")
+    found = Stored(mapped(texts, sets, "id long, n int, bits array<long>, sigs array<long>"))
+    # what differs in parity is in one set only, which bounds what a pair can share: most pairs end here, by small rows
+    marks = found.df.select("id", "n", "bits").dropDuplicates(["id"])  # rows can be repeated
+    a, b = (marks.select(F.col("id").alias(k), F.col("n").alias(f"n{k}"), F.col("bits").alias(f"bits{k}")) for k in ("u", "v"))
+    apart = F.aggregate(F.zip_with("bitsu", "bitsv", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
+    both = F.col("nu") + F.col("nv")
+    near = Stored(asked.df.join(a, "u").join(b, "v").filter(sum(LEAST) * (both - apart) >= 2 * LEAST[0] * both).select("u", "v"))
+    one = found.df.select("id", "sigs").join(near.df.select(F.explode(F.array("u", "v")).alias("id")).distinct(), "id").dropDuplicates(["id"])
+    both = near.df.join(one.select(F.col("id").alias("u"), F.col("sigs").alias("a")), "u").join(one.select(F.col("id").alias("v"), F.col("sigs").alias("b")), "v").select("u", "v", "a", "b")
     out = Stored(mapped(both, compare, "u long, v long"))
-    for x in (asked, picked, found):
+    for x in (asked, picked, found, near):
         x.drop()
     return out.df
 
