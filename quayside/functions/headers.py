@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from decimal import Decimal
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -12,17 +14,25 @@ ERROR_STATUS = {
 }
 
 
+#: The greatest unsigned and signed 64-bit numbers.
+_U64, _I64 = Decimal(2**64 - 1), Decimal(2**63 - 1)
+
+
 def byte_range(header: Column, size: Column) -> Column:
     """STRUCT<kind, first, last> of a Range header on a blob: `full` without one, with several or with one that isn't
     valid; `partial`; or `unsatisfiable`, as any range of an empty blob is."""
-    head = F.regexp_extract(F.coalesce(F.trim(header), F.lit("")), r"^bytes=\s*([0-9]{1,18})?\s*-\s*([0-9]{1,18})?\s*$", 0)
+    head = F.regexp_extract(F.coalesce(F.trim(header), F.lit("")), r"^bytes=\s*([0-9]{1,20})?\s*-\s*([0-9]{1,20})?\s*$", 0)
     a = F.regexp_extract(head, r"=\s*([0-9]+)\s*-", 1)
     b = F.regexp_extract(head, r"-\s*([0-9]+)\s*$", 1)
-    first, last = F.when(a != "", a.cast("long")), F.when(b != "", b.cast("long"))
+    # bounds are unsigned 64-bit numbers; as places in a blob those over the signed range are all the same
+    wide = lambda x: F.when(x != "", x.cast("decimal(20,0)"))
+    over = lambda x: F.coalesce(wide(x) > F.lit(_U64), F.lit(False))
+    place = lambda x: F.least(wide(x), F.lit(_I64)).cast("long")
+    first, last = F.when(a != "", place(a)), F.when(b != "", place(b))
     made = lambda kind, x, y: F.struct(F.lit(kind).alias("kind"), x.cast("long").alias("first"), y.cast("long").alias("last"))
     none = F.lit(None)
     return (
-        F.when((head == "") | (first.isNull() & last.isNull()) | (first > last), made("full", none, none))
+        F.when((head == "") | (first.isNull() & last.isNull()) | over(a) | over(b) | (wide(a) > wide(b)), made("full", none, none))
         .when(size == 0, made("unsatisfiable", none, none))
         .when(first.isNull(), F.when(last == 0, made("unsatisfiable", none, none)).otherwise(made("partial", F.greatest(size - last, F.lit(0)), size - 1)))
         .when(first >= size, made("unsatisfiable", none, none))
@@ -42,8 +52,8 @@ def media_type(value: Column) -> Column:
 
 
 def media_types_agree(content_type: Column, body_type: Column) -> Column:
-    """A body without a media type agrees with any header."""
-    return body_type.isNull() | (media_type(content_type) == body_type)
+    """Parameters of either don't count; a body without a media type agrees with any header."""
+    return body_type.isNull() | (media_type(content_type) == media_type(body_type))
 
 
 def artifact_type(body: Column) -> Column:

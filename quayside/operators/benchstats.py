@@ -5,11 +5,22 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Thresholds of a step that a server sustains, and the spread above which a figure counts as unstable.
-P99_BUDGET_MS, RATE_SHARE, UNSTABLE_CV = 20.0, 0.95, 10.0
-
-#: The classes of a stack's leaf; the first whose pattern matches holds.
-STACK_CLASSES = [("kernel", r"^\[k\]|_\[k\]$|entry_SYSCALL|^do_sys|^el0"), ("hashing", r"sha(2|256|512)|blake|crc32"), ("allocator", r"malloc|free|jemalloc|mi_|alloc::"), ("async runtime", r"tokio|mio::|poll"), ("http", r"hyper|h2::|http"), ("json", r"serde|json"), ("storage", r"heed|lmdb|mdb_|storage")]
+#: Thresholds of a step that a server sustains, the spread above which a figure counts as unstable, and how much
+#: better another must be, in percent, for a gap.
+P99_BUDGET_MS, RATE_SHARE, UNSTABLE_CV, GAP_PCT = 20.0, 0.95, 10.0, 10.0
+
+#: The classes of a stack's leaf and their patterns; the first that matches holds. After `runtime` comes `own`,
+#: the caller's own code, before the last, std-other; what none matches is `other`.
+STACK_CLASSES = [
+    ("kernel", r"_\[k\]$"),
+    ("hashing", r"sha2|sha256|sha512|blake3|crc32"),
+    ("copy/alloc", r"memcpy|memmove|memset|mi_|malloc|free|realloc|alloc::"),
+    ("json", r"serde_json|serde::"),
+    ("tls", r"rustls|ring::"),
+    ("http", r"hyper|h2::|http::|axum|tower"),
+    ("runtime", r"tokio::|parking_lot|futures"),
+    ("std-other", r"std::|core::"),
+]
 
 
 def summary(samples: DataFrame) -> DataFrame:
@@ -29,13 +40,17 @@ def compare(summaries: DataFrame, baseline: str) -> DataFrame:
 
 
 def gaps(summaries: DataFrame, baseline: str, lower_is_better: Column) -> DataFrame:
-    """Metrics in which some other registry's median beats the baseline's: metric, ours, best, factor (over 1)."""
+    """Metrics in which the best other registry beats the baseline by more than GAP_PCT percent: metric, ours, best, competitor
+    (of equal ones the first name), ratio (best to ours) and factor (how many times better). A division by 0 is infinite."""
     marked = summaries.withColumn("_low", lower_is_better)
     ours = marked.filter(F.col("registry") == baseline).select("metric", "_low", F.col("median").alias("ours"))
-    rest = marked.filter(F.col("registry") != baseline).groupBy("metric").agg(F.min("median").alias("_min"), F.max("median").alias("_max"))
-    out = ours.join(rest, "metric").withColumn("best", F.when(F.col("_low"), F.col("_min")).otherwise(F.col("_max")))
-    factor = F.when(F.col("_low"), F.col("ours") / F.col("best")).otherwise(F.col("best") / F.col("ours"))
-    return out.withColumn("factor", factor).filter("factor > 1").select("metric", "ours", "best", "factor")
+    order = F.struct(F.when(F.col("_low"), F.col("median")).otherwise(-F.col("median")).alias("by"), "registry", "median")
+    rest = marked.filter(F.col("registry") != baseline).groupBy("metric").agg(F.min(order).alias("_best"))
+    out = ours.join(rest, "metric").select("metric", "_low", "ours", F.col("_best.median").alias("best"), F.col("_best.registry").alias("competitor"))
+    beats = F.when(F.col("_low"), F.col("best") < F.col("ours") * (1 - GAP_PCT / 100)).otherwise(F.col("best") > F.col("ours") * (1 + GAP_PCT / 100))
+    over = lambda a, b: F.when(F.col(b) == 0, F.lit(float("inf"))).otherwise(F.col(a) / F.col(b))
+    ratio, factor = over("best", "ours"), F.when(F.col("_low"), over("ours", "best")).otherwise(over("best", "ours"))
+    return out.filter(beats).select("metric", "ours", "best", "competitor", ratio.alias("ratio"), factor.alias("factor"))
 
 
 def delta(before: DataFrame, after: DataFrame, labels: list[str]) -> DataFrame:
@@ -47,11 +62,12 @@ def delta(before: DataFrame, after: DataFrame, labels: list[str]) -> DataFrame:
 
 def sustained(steps: DataFrame) -> DataFrame:
     """steps: endpoint, rps, rate, p99_ms, status_share. endpoint, max_rps: the highest step before the first that fails;
-    null if the first one does. A step holds with all statuses right, p99 in budget and 95 % of the rate."""
+    0 if the first one does. A step holds with all statuses right, p99 in budget and 95 % of the rate."""
     ok = (F.col("status_share") == 1.0) & (F.col("p99_ms") <= P99_BUDGET_MS) & (F.col("rate") >= RATE_SHARE * F.col("rps"))
     failed = F.min(F.when(~ok, F.col("rps"))).over(Window.partitionBy("endpoint"))
     marked = steps.withColumn("_ok", ok).withColumn("_failed", failed)
-    return marked.groupBy("endpoint").agg(F.max(F.when(F.col("_ok") & (F.col("_failed").isNull() | (F.col("rps") < F.col("_failed"))), F.col("rps"))).alias("max_rps"))
+    held = F.when(F.col("_ok") & (F.col("_failed").isNull() | (F.col("rps") < F.col("_failed"))), F.col("rps"))
+    return marked.groupBy("endpoint").agg(F.coalesce(F.max(held), F.lit(0).cast("long")).alias("max_rps"))
 
 
 def top_frames(stacks: DataFrame, n: int = 15) -> DataFrame:
@@ -64,10 +80,11 @@ def top_frames(stacks: DataFrame, n: int = 15) -> DataFrame:
     return out.select("frame", "self", "inclusive", (100.0 * F.col("self") / F.col("_total")).alias("self_pct")).orderBy(F.desc("self"), F.desc("inclusive"), "frame").limit(n)
 
 
-def categories(stacks: DataFrame) -> DataFrame:
-    """stacks: frames, n. category, n, pct of all samples, by the leaf's class."""
+def categories(stacks: DataFrame, own: str | None = None) -> DataFrame:
+    """stacks: frames, n. category, n, pct of all samples, by the leaf's class; own: the pattern of the caller's own code."""
     leaf = F.element_at("frames", -1)
-    kind = F.coalesce(*[F.when(leaf.rlike(p), F.lit(c)) for c, p in STACK_CLASSES], F.lit("other"))
+    classes = STACK_CLASSES[:-1] + ([("own", own)] if own else []) + STACK_CLASSES[-1:]
+    kind = F.coalesce(*[F.when(leaf.rlike(p), F.lit(c)) for c, p in classes], F.lit("other"))
     sums = stacks.select(kind.alias("category"), "n").groupBy("category").agg(F.sum("n").alias("n"))
     return sums.withColumn("pct", 100.0 * F.col("n") / F.sum("n").over(Window.partitionBy(F.lit(0))))  # a row a class
 

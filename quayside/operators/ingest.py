@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quayside.functions.digests import crc32c_col
-from quayside.functions.headers import artifact_type, json_depth, media_type
+from quayside.functions.headers import artifact_type, json_depth, media_type, media_types_agree
 from quayside.operators import accounting, integrity, layout, lookup
 
 #: The most that JSON may nest, and the operations' columns.
@@ -42,7 +42,7 @@ def put_manifests(manifests: DataFrame, blobs: DataFrame) -> DataFrame:
     body that isn't JSON refers to nothing and is accepted."""
     m = manifests.withColumn("_m", layout.parse())
     own = F.col("_m.mediaType")
-    clash = own.isNotNull() & (media_type(F.col("content_type")) != own)
+    clash = ~media_types_agree(F.col("content_type"), own)
     needed = F.concat(F.array("_m.config"), F.coalesce("_m.layers", F.array()))
     refs = m.select("repo", F.col("digest").alias("manifest"), F.explode(F.transform(needed, lambda d: d["digest"])).alias("blob")).filter("blob IS NOT NULL")
     lacking = lookup.missing_references(refs, blobs).select("repo", F.col("manifest").alias("digest")).distinct().withColumn("_lacks", F.lit(True))

@@ -62,6 +62,6 @@ def token_grants(requests: DataFrame) -> DataFrame:
 
 def valid_claims(tokens: DataFrame, issuer: str, audience: str, now_s: int, leeway_s: int = 30, most_entries: int = 64) -> DataFrame:
     """tokens: iss, aud (array), exp, nbf (seconds, null: none), entries. Adds valid. Signatures aren't looked at."""
-    ok = (F.col("iss") == issuer) & F.array_contains("aud", audience) & (F.col("exp") + leeway_s > now_s)
+    ok = (F.col("iss") == issuer) & F.array_contains("aud", audience) & (F.col("exp") + leeway_s >= now_s)
     ok &= (F.col("nbf").isNull() | (F.col("nbf") - leeway_s <= now_s)) & (F.size(F.coalesce("entries", F.array())) <= most_entries)
     return tokens.withColumn("valid", F.coalesce(ok, F.lit(False)))

@@ -279,7 +279,7 @@ def cache_simulation(m: Model) -> DataFrame:
     return traffic.cache_hits(rows, 50_000, 4_000)
 
 
-@query("upload_verdicts", """SELECT repo, seq, CASE WHEN size > 10000 THEN 'too large' WHEN seq % 13 = 0 THEN 'invalid digest' WHEN seq % 17 = 0 THEN 'mismatch' ELSE 'accepted' END AS verdict FROM contents""", "contents")
+@query("upload_verdicts", """SELECT repo, seq, CASE WHEN size > 100000 THEN 'too large' WHEN seq % 13 = 0 THEN 'invalid digest' WHEN seq % 17 = 0 THEN 'mismatch' ELSE 'accepted' END AS verdict FROM contents""", "contents")
 def upload_verdicts(m: Model) -> DataFrame:
     claimed = F.when(F.expr("seq % 13 = 0"), "none").when(F.expr("seq % 17 = 0"), digest("x", "seq")).otherwise(F.col("digest"))
-    return ingest.put_blobs(m.contents.select("repo", "seq", claimed.alias("digest"), "content"), 10_000).select("repo", "seq", "verdict")
+    return ingest.put_blobs(m.contents.select("repo", "seq", claimed.alias("digest"), "content"), 100_000).select("repo", "seq", "verdict")

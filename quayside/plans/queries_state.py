@@ -129,10 +129,10 @@ def manifest_references(m: Model) -> DataFrame:
     return layout.references(rows.select("repo", digest("order-", "n").alias("digest"), body.alias("body")))
 
 
-@query("referrers_fallback", f"""WITH asked AS (SELECT repo, {_D.format('n')} AS subject, n FROM orders_ WHERE n % 10 = 0) SELECT a.repo, a.subject, r.referrer, 'index' AS via FROM asked a JOIN referrers r ON r.repo = a.repo AND r.subject = a.subject
+@query("referrers_fallback", f"""WITH asked AS (SELECT repo, {_D.format('n')} AS subject, n FROM orders_) SELECT a.repo, a.subject, r.referrer, 'index' AS via FROM asked a JOIN referrers r ON r.repo = a.repo AND r.subject = a.subject
     UNION ALL SELECT repo, subject, unnest([{_D.format("(n + 1)")}, {_D.format("(n + 2)")}]), 'tag' FROM asked a WHERE n % 20 = 0 AND NOT EXISTS (SELECT 1 FROM referrers r WHERE r.repo = a.repo AND r.subject = a.subject)""", "orders_", "referrers")
 def referrers_fallback(m: Model) -> DataFrame:
-    keys = m.orders.filter("n % 10 = 0").withColumn("a", F.col("n") + 1).withColumn("b", F.col("n") + 2)
+    keys = m.orders.withColumn("a", F.col("n") + 1).withColumn("b", F.col("n") + 2)
     asked = keys.select("repo", digest("order-", "n").alias("subject"))
     listed = keys.filter("n % 20 = 0").select("repo", digest("order-", "n").alias("subject"), digest("list-", "n").alias("digest"), F.to_json(F.struct(F.array(F.struct(digest("order-", "a").alias("digest")), F.struct(digest("order-", "b").alias("digest"))).alias("manifests"))).alias("body"))
     tags = listed.select("repo", layout.fallback_tag("subject").alias("tag"), "digest")
@@ -209,11 +209,11 @@ def scrub_summary(m: Model) -> DataFrame:
     return integrity.summary(_scrubbed(m), F.octet_length("content"))
 
 
-@query("digest_verify", "SELECT seq, CASE WHEN size > 10000 THEN 'too large' WHEN seq % 13 = 0 THEN 'invalid digest' WHEN seq % 17 = 0 THEN 'mismatch' ELSE 'accepted' END AS verdict FROM contents", "contents")
+@query("digest_verify", "SELECT seq, CASE WHEN size > 100000 THEN 'too large' WHEN seq % 13 = 0 THEN 'invalid digest' WHEN seq % 17 = 0 THEN 'mismatch' ELSE 'accepted' END AS verdict FROM contents", "contents")
 def digest_verify(m: Model) -> DataFrame:
     claimed = F.when(F.expr("seq % 13 = 0"), F.concat(F.lit("md5:"), F.md5("content"))).when(F.expr("seq % 17 = 0"), digest("x", "seq")).when(F.expr("seq % 3 = 0"), digests.digest_of("content", "sha512")).otherwise(F.upper(F.col("digest")))
     claimed = F.regexp_replace(claimed, "^SHA256", "sha256")
-    return integrity.verify(m.contents.select("seq", claimed.alias("digest"), "content"), 10_000).select("seq", "verdict")
+    return integrity.verify(m.contents.select("seq", claimed.alias("digest"), "content"), 100_000).select("seq", "verdict")
 
 
 @query("crc32c_documents")
@@ -298,10 +298,14 @@ def bench_compare(m: Model) -> DataFrame:
     return _rounded(benchstats.compare(benchstats.summary(m.bench), "log"), "ratio")
 
 
-@query("bench_gaps", """SELECT metric, round(ours, 6) AS ours, round(best, 6) AS best, round(factor, 6) AS factor FROM (SELECT *, CASE WHEN metric = 'A' THEN ours / best ELSE best / ours END AS factor
-    FROM (SELECT a.metric, a.median AS ours, CASE WHEN a.metric = 'A' THEN min(b.median) ELSE max(b.median) END AS best FROM summaries a JOIN summaries b ON b.metric = a.metric AND b.registry <> 'log' WHERE a.registry = 'log' GROUP BY 1, 2)) WHERE factor > 1""", "summaries")
+@query("bench_gaps", """WITH w AS (SELECT metric, registry, median * CASE WHEN registry = 'log' THEN 1 WHEN metric = 'N' THEN 1.05 WHEN metric = 'R' THEN 1.25 ELSE 0.75 END AS median FROM summaries),
+    o AS (SELECT metric, registry, median, row_number() OVER (PARTITION BY metric ORDER BY CASE WHEN metric = 'A' THEN median ELSE -median END, registry) AS k FROM w WHERE registry <> 'log')
+    SELECT a.metric, round(a.median, 6) AS ours, round(o.median, 6) AS best, o.registry AS competitor, round(CASE WHEN a.median = 0 THEN 'inf'::DOUBLE ELSE o.median / a.median END, 6) AS ratio,
+        round(CASE WHEN a.metric = 'A' THEN CASE WHEN o.median = 0 THEN 'inf'::DOUBLE ELSE a.median / o.median END WHEN a.median = 0 THEN 'inf'::DOUBLE ELSE o.median / a.median END, 6) AS factor
+    FROM w a JOIN o ON o.metric = a.metric AND k = 1 WHERE a.registry = 'log' AND CASE WHEN a.metric = 'A' THEN o.median < a.median * 0.9 ELSE o.median > a.median * 1.1 END""", "summaries")
 def bench_gaps(m: Model) -> DataFrame:
-    return _rounded(benchstats.gaps(benchstats.summary(m.bench), "log", F.col("metric") == "A"), "ours", "best", "factor")
+    wide = m.bench.withColumn("value", F.col("value") * F.when(F.col("registry") == "log", 1.0).when(F.col("metric") == "N", 1.05).when(F.col("metric") == "R", 1.25).otherwise(0.75))
+    return _rounded(benchstats.gaps(benchstats.summary(wide), "log", F.col("metric") == "A"), "ours", "best", "ratio", "factor")
 
 
 @query("metrics_delta", """WITH a AS (SELECT method, status, count(*) AS n, sum(seconds) AS total FROM requests GROUP BY 1, 2), b AS (SELECT method, status, count(*) AS n, sum(seconds) AS total FROM requests WHERE seq < 5000 AND status <> 304 GROUP BY 1, 2)
@@ -314,7 +318,7 @@ def metrics_delta(m: Model) -> DataFrame:
 _STEPS = "steps AS (SELECT method AS endpoint, (seq // 200) * 100 + 100 AS rps, ((seq // 200) * 100 + 100) * (1 - 0.001 * (seq // 200)) AS rate, max(seconds) * 1000 / 30 AS p99, count(*) FILTER (WHERE status < 500 OR method = 'GET') * 1.0 / count(*) AS share FROM requests GROUP BY ALL)"
 
 
-@query("max_sustained_rps", f"WITH {_STEPS}, j AS (SELECT *, share = 1 AND p99 <= 20 AND rate >= 0.95 * rps AS ok FROM steps) SELECT endpoint, max(rps) FILTER (WHERE ok AND rps < (SELECT coalesce(min(rps), 1000000000) FROM j b WHERE b.endpoint = j.endpoint AND NOT b.ok)) AS max_rps FROM j GROUP BY 1", "requests")
+@query("max_sustained_rps", f"WITH {_STEPS}, j AS (SELECT *, share = 1 AND p99 <= 20 AND rate >= 0.95 * rps AS ok FROM steps) SELECT endpoint, coalesce(max(rps) FILTER (WHERE ok AND rps < (SELECT coalesce(min(rps), 1000000000) FROM j b WHERE b.endpoint = j.endpoint AND NOT b.ok)), 0) AS max_rps FROM j GROUP BY 1", "requests")
 def max_sustained_rps(m: Model) -> DataFrame:
     step = F.expr("seq div 200")
     rows = m.requests.select("method", step.alias("k"), "seconds", ((F.col("status") < 500) | (F.col("method") == "GET")).alias("good"))
@@ -323,16 +327,26 @@ def max_sustained_rps(m: Model) -> DataFrame:
     return benchstats.sustained(steps.select(F.col("method").alias("endpoint"), rps.alias("rps"), (rps * (1 - 0.001 * F.col("k"))).alias("rate"), "p99_ms", "status_share"))
 
 
-@query("profile_top_frames")
+_LEAF3 = "CASE seq % 3 WHEN 0 THEN 'sha256_block' WHEN 1 THEN 'tokio::poll' ELSE 'mdb_get' END"
+
+
+@query("profile_top_frames", f"""WITH s AS (SELECT 'serve_' || lower(method) AS middle, {_LEAF3} AS leaf, client + 1 AS n FROM requests), own AS (SELECT leaf AS frame, sum(n) AS self FROM s GROUP BY 1),
+    every AS (SELECT frame, sum(n) AS inclusive FROM (SELECT 'main' AS frame, n FROM s UNION ALL SELECT middle, n FROM s UNION ALL SELECT leaf, n FROM s) GROUP BY 1)
+    SELECT frame, CAST(coalesce(self, 0) AS BIGINT) AS self, CAST(inclusive AS BIGINT) AS inclusive, round(100.0 * coalesce(self, 0) / (SELECT sum(n) FROM s), 6) AS self_pct
+    FROM every LEFT JOIN own USING (frame) ORDER BY self DESC, inclusive DESC, frame LIMIT 15""", "requests")
 def profile_top_frames(m: Model) -> DataFrame:
     frames = F.array(F.lit("main"), F.concat(F.lit("serve_"), F.lower("method")), F.when(F.expr("seq % 3 = 0"), "sha256_block").when(F.expr("seq % 3 = 1"), "tokio::poll").otherwise("mdb_get"))
-    return benchstats.top_frames(m.requests.select(frames.alias("frames"), (F.col("client") + 1).alias("n")))
+    return _rounded(benchstats.top_frames(m.requests.select(frames.alias("frames"), (F.col("client") + 1).alias("n"))), "self_pct")
+
+
+LEAVES = ["do_syscall_64_[k]", "sha256_block", "__memcpy_avx", "serde_json::de", "rustls::conn", "hyper::proto", "tokio::poll", "quay_serve", "core::fmt", "mdb_get"]
+_CLASSES = ["kernel", "hashing", "copy/alloc", "json", "tls", "http", "runtime", "own", "std-other", "other"]
 
 
-@query("profile_categories")
+@query("profile_categories", "SELECT category, CAST(sum(n) AS BIGINT) AS n, round(100.0 * sum(n) / (SELECT sum(client + 1) FROM requests), 6) AS pct FROM (SELECT CASE seq % 10 " + " ".join(f"WHEN {i} THEN '{c}'" for i, c in enumerate(_CLASSES)) + " END AS category, client + 1 AS n FROM requests) GROUP BY 1", "requests")
 def profile_categories(m: Model) -> DataFrame:
-    leaf = F.when(F.expr("seq % 3 = 0"), "sha256_block").when(F.expr("seq % 3 = 1"), "tokio::poll").otherwise("mdb_get")
-    return benchstats.categories(m.requests.select(F.array(F.lit("main"), leaf).alias("frames"), (F.col("client") + 1).alias("n")))
+    leaf = F.element_at(F.array(*map(F.lit, LEAVES)), (F.col("seq") % 10 + 1).cast("int"))
+    return _rounded(benchstats.categories(m.requests.select(F.array(F.lit("main"), leaf).alias("frames"), (F.col("client") + 1).alias("n")), "quay_"), "pct")
 
 
 @query("metrics_exposition")

@@ -83,8 +83,8 @@ def records(found: DataFrame, magic: bytes | None = None) -> DataFrame:
 
 
 def generation(found: DataFrame) -> DataFrame:
-    """path, generation: the marker among each file's first two frames; 0 without one."""
-    g = F.when((F.col("seq") <= 2) & F.col("ok") & (F.get_json_object(F.col("payload").cast("string"), "$.op") == "gen"), F.get_json_object(F.col("payload").cast("string"), "$.generation").cast("long"))
+    """path, generation: the number in the marker ({"op": "gen", "gen": n}) among each file's first two frames; 0 without one."""
+    g = F.when((F.col("seq") <= 2) & F.col("ok") & (F.get_json_object(F.col("payload").cast("string"), "$.op") == "gen"), F.get_json_object(F.col("payload").cast("string"), "$.gen").try_cast("long"))
     return found.groupBy("path").agg(F.coalesce(F.max(g), F.lit(0)).alias("generation"))
 
 

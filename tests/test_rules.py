@@ -93,6 +93,8 @@ def test_headers(spark):
     r = lambda h, n=10: tuple(one(spark, headers.byte_range(F.lit(h).cast("string"), F.lit(n))))
     assert r("bytes=0-4") == ("partial", 0, 4) and r("bytes=5-") == ("partial", 5, 9) and r("bytes=-3") == ("partial", 7, 9) and r("bytes=-30") == ("partial", 0, 9)
     assert r(None)[0] == r("bytes=0-1,3-4")[0] == r("bytes=4-2")[0] == r("x")[0] == "full"
+    assert r("bytes=0-9223372036854775807") == r("bytes=0-18446744073709551615") == ("partial", 0, 9) == r("bytes=-18446744073709551615")
+    assert r("bytes=18446744073709551615-")[0] == "unsatisfiable" and r("bytes=0-18446744073709551616")[0] == r("bytes=0-100000000000000000000")[0] == "full"
     assert r("bytes=10-")[0] == r("bytes=-0")[0] == r("bytes=-5", 0)[0] == "unsatisfiable"
     match = lambda h: one(spark, headers.if_none_match(F.lit(h), F.lit("e")))
     assert match('"x", W/"e"') and match("*") and not match('"x"')
@@ -100,6 +102,7 @@ def test_headers(spark):
     assert one(spark, headers.json_depth(F.lit('{"a":[{"b":"}]]"}]}'))) == 3 and one(spark, headers.json_depth(F.lit("1"))) == 0
     assert one(spark, headers.artifact_type(F.lit('{"artifactType":"","config":{"mediaType":"c"}}'))) == "c"
     assert one(spark, headers.media_types_agree(F.lit("a/b; charset=x"), F.lit("a/b"))) is True
+    assert one(spark, headers.media_types_agree(F.lit("a/b"), F.lit("a/b; x=y"))) is True and one(spark, headers.media_types_agree(F.lit("a/b"), F.lit("a/c"))) is False
     assert one(spark, headers.error_status(F.lit("DENIED"))) == 403
 
 
@@ -152,9 +155,28 @@ def test_bench(spark, rows):
     sums = benchstats.summary(s)
     assert ("m", "x", 5.0, 5.0, 5.0, 1, 0.0) in rows(sums) and ("z", "log", 0.0, 0.0, 0.0, 1, 0.0) in rows(sums)
     assert rows(benchstats.compare(sums, "log")) == [("m", "x", 0.5, False, False)]
-    assert rows(benchstats.gaps(sums, "log", F.lit(True))) == [("m", 10.0, 5.0, 2.0)]
+    assert rows(benchstats.gaps(sums, "log", F.lit(True))) == [("m", 10.0, 5.0, "x", 0.5, 2.0)]
     steps = spark.createDataFrame([("e", 100, 100.0, 5.0, 1.0), ("e", 200, 150.0, 5.0, 1.0), ("e", 400, 400.0, 5.0, 1.0)], "endpoint string, rps int, rate double, p99_ms double, status_share double")
     assert rows(benchstats.sustained(steps)) == [("e", 100)]
+    assert rows(benchstats.sustained(steps.filter("rps > 100"))) == [("e", 0)]
+
+
+def test_gaps(spark, rows):
+    """A gap is over ten percent; nothing divides by zero."""
+    sums = lambda *x: spark.createDataFrame([("m", r, float(v)) for r, v in x], "metric string, registry string, median double")
+    low = lambda *x: rows(benchstats.gaps(sums(*x), "us", F.lit(True)))
+    high = lambda *x: rows(benchstats.gaps(sums(*x), "us", F.lit(False)))
+    assert low(("us", 100), ("a", 95)) == low(("us", 100), ("a", 90)) == high(("us", 100), ("a", 109)) == low(("us", 100)) == []
+    assert low(("us", 100), ("b", 80), ("a", 80), ("c", 85)) == [("m", 100.0, 80.0, "a", 0.8, 1.25)]
+    assert high(("us", 100), ("a", 150), ("b", 120)) == [("m", 100.0, 150.0, "a", 1.5, 1.5)]
+    assert high(("us", 0), ("a", 5)) == [("m", 0.0, 5.0, "a", float("inf"), float("inf"))] and low(("us", 5), ("a", 0)) == [("m", 5.0, 0.0, "a", 0.0, float("inf"))]
+
+
+def test_categories(spark):
+    leaves = ["memcpy", "tokio::poll", "std::x", "own_x", "rustls::y", "z", "x_[k]"]
+    stacks = spark.createDataFrame([([leaf], 1) for leaf in leaves], "frames array<string>, n long")
+    got = {r["category"] for r in benchstats.categories(stacks, "^own_").collect()}
+    assert got == {"copy/alloc", "runtime", "std-other", "own", "tls", "other", "kernel"}
 
 
 def test_layout(spark, rows):

@@ -18,7 +18,7 @@ def put(repo, digest, tag, refs):
 
 def test_frames(spark, tmp_path, rows):
     key = bytes(32)
-    ops = [{"op": "gen", "generation": 7}, put("r", "d1", "t", ["b"]), {"op": "unknown"}, {"op": "delete_manifest", "repo": "r", "digest": "d0"}]
+    ops = [{"op": "gen", "gen": 7}, put("r", "d1", "t", ["b"]), {"op": "unknown"}, {"op": "delete_manifest", "repo": "r", "digest": "d0"}]
     good = wal.frame(b"magic\x01", key) + b"".join(wal.frame(json.dumps(o).encode(), key) for o in ops)
     (tmp_path / "a.log").write_bytes(good + wal.frame(b"{}", key)[:-3])
     (tmp_path / "b.log").write_bytes(good[:20])
