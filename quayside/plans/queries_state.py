@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quayside.functions import digests
-from quayside.operators import benchstats, integrity, layout, policy, replay, telemetry
+from quayside.operators import benchstats, collect, integrity, layout, policy, replay, telemetry
 from quayside.plans.fixture import Model, digest
 from quayside.plans.registry import query
 
@@ -139,6 +139,51 @@ def referrers_fallback(m: Model) -> DataFrame:
     return layout.referrers_or_fallback(asked, m.referrers, tags, listed.select("repo", "digest", "body"))
 
 
+_WALK = f"""RECURSIVE chain AS (SELECT repo, n, status, lag(n) OVER (PARTITION BY customer ORDER BY at_, n) AS before FROM orders_), bad AS (SELECT DISTINCT repo FROM orders_ WHERE n % 5003 = 77),
+    walk AS (SELECT repo, n, before FROM chain WHERE status <> 'F' AND NOT EXISTS (SELECT 1 FROM bad WHERE bad.repo = chain.repo)
+        UNION SELECT c.repo, c.n, c.before FROM walk w JOIN chain c ON c.n = w.before WHERE w.n % 3 = 1),
+    lost AS (SELECT repo FROM bad UNION SELECT repo FROM walk WHERE n % 4001 = 7)"""
+
+
+def _rebuilt(m: Model) -> collect.Rebuilt:
+    """The log knows pending orders and no reference; the indexes name open ones. Every third order is an index whose child is
+    the customer's order before. Some orders have no body, and some make their repository's index unreadable."""
+    w = Window.partitionBy("customer").orderBy("at", "n")
+    chain = m.orders.select("repo", "n", "status", F.lag("n").over(w).alias("before"))
+    parts = m.edge_keys.groupBy("n").agg(F.transform(F.collect_list("part"), lambda p: F.struct(F.concat(F.lit("sha256:"), F.sha2(F.concat(F.lit("part-"), p.cast("string")), 256)).alias("digest"))).alias("layers"))
+    child = F.when(F.expr("n % 3 = 1 AND before IS NOT NULL"), F.array(F.struct(digest("order-", "before").alias("digest"))))
+    body = F.to_json(F.struct("layers", child.alias("manifests")))
+    bodies = chain.filter("n % 4001 <> 7").join(parts, "n", "left").select("repo", digest("order-", "n").alias("digest"), body.alias("content")).withColumn("size", F.octet_length("content"))
+    entry = F.when(F.col("status") == "O", F.struct(digest("order-", "n").alias("digest")))
+    lists = chain.groupBy("repo").agg(F.to_json(F.struct(F.collect_list(entry).alias("manifests"))).alias("body"), F.max(F.expr("n % 5003 = 77")).alias("torn"))
+    indexes = lists.select("repo", F.when(F.col("torn"), F.substring("body", 1, 20)).otherwise(F.col("body")).alias("body"))
+    recorded = m.manifests.filter("status = 'P'").select("repo", "digest")
+    return collect.rebuild_backrefs(indexes, recorded, m.edges().limit(0), bodies)
+
+
+@query("gc_rebuilt_candidates", f"WITH {_WALK} SELECT repo, digest FROM blobs b WHERE NOT EXISTS (SELECT 1 FROM edges e JOIN walk w ON w.n = e.n WHERE e.repo = b.repo AND e.blob = b.digest) AND repo NOT IN (SELECT repo FROM lost)", "blobs", "orders_")
+def gc_rebuilt_candidates(m: Model) -> DataFrame:
+    found = _rebuilt(m)
+    recorded = m.manifests.filter("status = 'P'")
+    return collect.candidates(m.blobs.select("repo", "digest"), found.edges, recorded, found.roots, found.unsafe)
+
+
+@query("gc_unsafe_repos", f"WITH {_WALK} SELECT DISTINCT repo FROM lost", "orders_")
+def gc_unsafe_repos(m: Model) -> DataFrame:
+    return _rebuilt(m).unsafe
+
+
+@query("gc_roots", f"WITH {_WALK} SELECT DISTINCT repo, {_D.format('n')} AS digest FROM walk w WHERE (SELECT status FROM orders_ o WHERE o.n = w.n) <> 'P'", "orders_")
+def gc_roots(m: Model) -> DataFrame:
+    return _rebuilt(m).roots
+
+
+@query("gc_left_without", f"SELECT DISTINCT repo, blob AS digest FROM edges e WHERE status = 'F' AND NOT EXISTS (SELECT 1 FROM edges k WHERE k.repo = e.repo AND k.blob = e.blob AND k.status <> 'F') UNION SELECT repo, digest FROM manifests WHERE status = 'F'", "edges", "manifests")
+def gc_left_without(m: Model) -> DataFrame:
+    """What the deletion of all finished orders leaves."""
+    return collect.left_without(m.manifests.filter("status = 'F'"), m.edges(), m.manifests)
+
+
 # --- policy ----------------------------------------------------------------------------------------------------------
 
 RULES = [(0, "**", 0, 1), (1, "asia/**", 1, 1), (2, "*/nation-1/*", 0, 3), (3, "**/machinery", 1, 3), (4, "europe/nation-3/furniture", 0, 7), (5, "america/*/building", 1, 1), (6, "america/*/b*", 0, 2), (7, "africa/nation-*/**", 1, 2)]

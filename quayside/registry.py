@@ -57,7 +57,10 @@ class Registry:
         return lookup.resolve_references(requests, self.tags(), self.manifests(), index_types)
 
     def gc_candidates(self) -> DataFrame:
-        return collect.candidates(self.blobs(), self.edges(), self.manifests())
+        """Blobs that neither the log nor the index documents lead to; none of a repository that couldn't be read."""
+        bodies = self.blobs(content=True)
+        found = collect.rebuild_backrefs(layout_source.indexes(self.spark, self.root), self.manifests(), self.edges(), bodies)
+        return collect.candidates(self.blobs(), found.edges, self.manifests(), found.roots, found.unsafe)
 
     def scrub(self) -> DataFrame:
         return integrity.classify(self.blobs(content=True), self.checksums(), crc32c_col(F.col("content")), F.octet_length("content")).drop("content")

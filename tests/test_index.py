@@ -1,5 +1,7 @@
 """Lookups, paging, replay: the cases of the model's behaviour, and its traps."""
 
+import json
+
 from pyspark.sql import functions as F
 
 from quayside.operators import collect, lookup, paging, replay
@@ -108,3 +110,36 @@ def test_scrub_order(spark, rows):
     assert [(r["repo"], r["digest"], r["position"]) for r in got] == [("a", "1", 1), ("b", "1", 2), ("a", "2", 3), ("a", "3", 4)]
     left = paging.adaptive_order(paging.scrub_order(blobs), F.lit("a"), 1).orderBy("turn", "position").collect()
     assert [(r["repo"], r["digest"]) for r in left] == [("a", "2"), ("a", "3"), ("b", "1")]
+
+
+def test_rebuild(spark, rows):
+    d = {k: "sha256:" + f"{i:x}" * 64 for i, k in enumerate("abcdefghij")}
+    doc = lambda **f: json.dumps(f)
+    one = lambda k: {"digest": d[k]}
+    key = "repo string, digest string"
+    indexes = spark.createDataFrame([("r", doc(manifests=[one("a"), {"digest": "none"}, 5, {"size": "x"}])), ("torn", '{"manifests":['), ("empty", "{}"), ("lost", doc(manifests=[one("j")])), ("big", doc(manifests=[one("a")])), ("bad", doc(manifests=[one("a")]))], "repo string, body string")
+    bodies = [("r", d["a"], 9, doc(manifests=[one("b"), {"digest": d["c"].upper().replace("SHA256", "sha256")}], subject=one("i"))), ("r", d["b"], 9, doc(config={"digest": d["d"], "size": "ten"}, layers=[one("e"), "x", {"digest": 7}, one("e")])), ("r", d["c"], 9, doc(manifests=[one("a")], layers="none")),
+              ("r", d["f"], 9, doc(layers=[one("g")])), ("torn", d["a"], 9, "{}"), ("big", d["a"], collect.MAX_MANIFEST_BYTES + 1, "{}"), ("bad", d["a"], 9, "no json"), ("r", d["h"], 9, "no json"), ("m", d["h"], 9, "5")]
+    bodies = spark.createDataFrame(bodies, "repo string, digest string, size long, content string")
+    recorded = spark.createDataFrame([("r", d["b"]), ("m", d["h"])], key)
+    edges = spark.createDataFrame([("r", d["b"], d["d"]), ("q", d["a"], d["d"])], "repo string, manifest string, blob string")
+    found = collect.rebuild_backrefs(indexes, recorded, edges, bodies)
+    assert rows(found.unsafe) == [("bad",), ("big",), ("lost",), ("torn",)]
+    assert [k for k, v in d.items() for r in rows(found.roots) if r == ("r", v)] == ["a", "c"]
+    assert rows(found.edges) == sorted([("q", d["a"], d["d"]), ("r", d["a"], d["b"]), ("r", d["a"], d["c"]), ("r", d["a"], d["i"]), ("r", d["b"], d["d"]), ("r", d["b"], d["e"]), ("r", d["c"], d["a"])])
+    blobs = spark.createDataFrame([("r", d[k]) for k in "abcdefghi"] + [("torn", d["g"])], key)
+    assert rows(collect.candidates(blobs, found.edges, recorded, found.roots, found.unsafe)) == [("r", d["f"]), ("r", d["g"]), ("r", d["h"])]
+    none = collect.rebuild_backrefs(indexes.limit(0), recorded.limit(0), edges.limit(0), bodies.limit(0))
+    assert none.edges.isEmpty() and none.roots.isEmpty() and none.unsafe.isEmpty()
+
+
+def test_marks(spark, rows):
+    key = "repo string, digest string"
+    now, then = F.lit("2024-01-02 00:00:00").cast("timestamp"), "2024-01-01 00:00:00"
+    marked = spark.createDataFrame([("r", "a", then), ("r", "b", then)], key + ", t string").select("repo", "digest", F.col("t").cast("timestamp").alias("marked_at"))
+    day = lambda df: [(r["digest"], r["marked_at"].day) for r in df.orderBy("digest").collect()]
+    assert day(collect.marks(spark.createDataFrame([("r", "a"), ("r", "c"), ("r", "c")], key), marked, now)) == [("a", 1), ("c", 2)]
+    assert day(collect.touch(marked, spark.createDataFrame([("r", "b"), ("r", "z"), ("q", "a")], key), now)) == [("a", 1), ("b", 2)]
+    edges = spark.createDataFrame([("r", "m", "x"), ("r", "m", "y"), ("r", "n", "y"), ("q", "m", "z"), ("r", "m", "n")], "repo string, manifest string, blob string")
+    manifests = spark.createDataFrame([("r", "m"), ("r", "n"), ("q", "m")], key)
+    assert rows(collect.left_without(spark.createDataFrame([("r", "m"), ("r", "m")], key), edges, manifests)) == [("r", "m"), ("r", "x")]
