@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quayside.operators.ordered import running_sum
+from quayside.operators.ordered import running_floor, running_sum
 
 
 def usage(blobs: DataFrame) -> DataFrame:
@@ -49,6 +49,31 @@ def total_admission(writes: DataFrame, total_cap: int) -> DataFrame:
     return writes.join(admission(one, total_cap).drop("repo", "size"), "seq")
 
 
+def capped_admission(writes: DataFrame, repo_cap: int, total_cap: int) -> DataFrame:
+    """writes: repo, seq, size. Adds refused_by: `repository`, `total` or null where the write is admitted; the repository's cap
+    is asked first, and a refused write is charged to neither. 0 is no cap.
+
+    Under a total cap every decision depends on all before it, so it is one fold in order of seq that holds a number a
+    repository. Where all writes together stay within the total cap it can refuse nothing, and repositories fold apart."""
+    schema = T.StructType([*writes.select("repo", "seq", "size").schema.fields, T.StructField("refused_by", T.StringType())])
+    if total_cap == 0 or (writes.agg(F.sum("size")).first()[0] or 0) <= total_cap:
+        return admission(writes, repo_cap).select("repo", "seq", "size", F.when(~F.col("admitted"), "repository").alias("refused_by"))
+
+    def fold(batches):
+        used, total = {}, 0
+        for frame in batches:
+            verdicts = []
+            for repo, size in zip(frame["repo"], frame["size"]):
+                own = used.get(repo, 0)
+                over = "repository" if repo_cap and own + size > repo_cap else "total" if total + size > total_cap else None
+                if over is None:
+                    used[repo], total = own + size, total + size
+                verdicts.append(over)
+            yield frame.assign(refused_by=verdicts)
+
+    return writes.select("repo", "seq", "size").coalesce(1).sortWithinPartitions("seq").mapInPandas(fold, schema)
+
+
 def release(used: DataFrame, freed: DataFrame) -> DataFrame:
     """used: repo, bytes; freed: repo, size. What stays: never under 0, nothing for an unknown repository, no row at 0."""
     sums = freed.groupBy("repo").agg(F.sum("size").alias("_freed"))
@@ -57,11 +82,30 @@ def release(used: DataFrame, freed: DataFrame) -> DataFrame:
 
 
 def sessions(events: DataFrame) -> DataFrame:
-    """events: repo, seq, delta (+1 begins, -1 ends). Adds active: the sessions open after each event, never under 0 (the
-    running sum over its least value so far, where that is negative)."""
-    w = Window.partitionBy("repo").orderBy("seq").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    out = events.withColumn("_sum", F.sum("delta").over(w)).withColumn("_low", F.min("_sum").over(w))
-    return out.withColumn("active", (F.col("_sum") - F.least("_low", F.lit(0))).cast("long")).drop("_sum", "_low")
+    """events: repo, seq, delta (+1 begins, -1 ends). Adds active: the sessions open after each event, never under 0."""
+    return running_floor(events, ["repo"], "seq", "delta", "active").withColumn("active", F.col("active").cast("long"))
+
+
+def admitted_sessions(events: DataFrame, cap: int) -> DataFrame:
+    """events: seq, delta. Adds admitted and active under one cap (0: none) for all sessions of the server: a begin beyond it
+    is refused and changes nothing, an end is always admitted. Each decision depends on all before it, so this is one fold in
+    order of seq, and only seq and delta go through it."""
+
+    def fold(batches):
+        import pandas as pd
+
+        active = 0
+        for frame in batches:
+            ok, open_ = [], []
+            for delta in frame["delta"]:
+                fits = delta < 0 or cap == 0 or active < cap
+                active = max(0, active + int(delta) * fits)
+                ok.append(bool(fits))
+                open_.append(active)
+            yield pd.DataFrame({"seq": frame["seq"], "delta": frame["delta"], "admitted": ok, "active": open_})
+
+    rows = events.select(F.col("seq").cast("long").alias("seq"), F.col("delta").cast("int").alias("delta"))
+    return rows.coalesce(1).sortWithinPartitions("seq").mapInPandas(fold, "seq long, delta int, admitted boolean, active long")
 
 
 def upload_offsets(chunks: DataFrame) -> DataFrame:

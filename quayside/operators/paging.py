@@ -10,6 +10,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quayside.operators.ordered import numbered, running_sum
+from quayside.shared import written
+
 #: Fixed value: the server's limit on a page.
 MAX_PAGE = 1000
 
@@ -72,11 +75,11 @@ def scrub_order(blobs: DataFrame) -> DataFrame:
     """repo, digest, place_in_repo, position: a repository's blobs in byte order, repositories taking turns.
 
     The position is counted, not sorted into one task: all blobs of earlier rounds, which follow from how many
-    repositories have a given number of blobs, and the repositories of this round that come before."""
-    ranked = blobs.withColumn("place_in_repo", F.row_number().over(Window.partitionBy("repo").orderBy("digest")))
+    repositories have a given number of blobs, and the repositories of this round that come before. Places within a
+    repository and sums over rounds are taken in two levels; a turn is ranked among one round's repositories."""
+    ranked = written(numbered(blobs, ["repo"], "digest", "place_in_repo"))
     rounds = ranked.groupBy("place_in_repo").agg(F.count("*").alias("_in_round"))
-    before = Window.partitionBy(F.lit(0)).orderBy("place_in_repo").rowsBetween(Window.unboundedPreceding, -1)  # a row a round
-    rounds = rounds.select("place_in_repo", F.coalesce(F.sum("_in_round").over(before), F.lit(0)).alias("_before"))
+    rounds = running_sum(rounds, [], "place_in_repo", "_in_round", "_through").select("place_in_repo", (F.col("_through") - F.col("_in_round")).alias("_before"))
     turn = F.row_number().over(Window.partitionBy("place_in_repo").orderBy("repo"))
     return ranked.withColumn("_turn", turn).join(rounds, "place_in_repo").withColumn("position", (F.col("_before") + F.col("_turn")).cast("long")).drop("_before", "_turn")
 

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quayside.operators.ordered import at_places
+from quayside.operators.ordered import at_places, without_resets
 
 #: Upper bounds of the latency histogram in seconds and of the log's batch sizes.
 LATENCY_BOUNDS = [0.001, 0.0025, 0.005, 0.01, 0.025, 0.05, 0.1, 0.25, 0.5, 1.0, 2.5, 5.0, 10.0, 30.0]
@@ -29,10 +29,7 @@ def counters(events: DataFrame, labels: list[str], amount: Column | None = None)
 
 def monotone(samples: DataFrame, by: list[str], at: str, raw: str) -> DataFrame:
     """Adds total: the counter without its resets. Where raw falls, what it had reached is added to all that follows."""
-    w = Window.partitionBy(*by).orderBy(at)
-    lost = F.when(F.col(raw) < F.lag(raw).over(w), F.lag(raw).over(w)).otherwise(F.lit(0))
-    out = samples.withColumn("_lost", lost)
-    return out.withColumn("total", F.col(raw) + F.sum("_lost").over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow))).drop("_lost")
+    return without_resets(samples, by, at, raw, "total")
 
 
 def phases(samples: DataFrame, spans: DataFrame) -> DataFrame:
@@ -60,14 +57,51 @@ def rounded_rank(samples: DataFrame, by: list[str], value: str, ranks: list[floa
     return at_places(samples, by, value, {_named(r): F.floor(F.lit(r / 100) * (F.col("n") - 1) + 0.5) for r in ranks})
 
 
-def exposition(points: DataFrame, kind: str, help_: str) -> DataFrame:
-    """points: name, labels (map), value. line: the text exposition format, HELP and TYPE before each name's first sample.
+def metric_name(name: str, unit: str = "") -> Column:
+    """A metric's name in the text format: dots become underscores, seconds are named."""
+    return F.concat(F.translate(name, ".", "_"), F.lit("_seconds" if unit == "s" else ""))
 
-    Dots in names become underscores; backslash, quote and newline in label values are escaped; labels are sorted."""
-    name = F.translate("name", ".", "_")
+
+def _labels(labels: Column) -> Column:
+    """{key="value",...} by key, also where there are none; backslash, quote and newline in values are escaped."""
     escape = lambda v: F.replace(F.replace(F.replace(v, F.lit("\\"), F.lit("\\\\")), F.lit('"'), F.lit('\\"')), F.lit("\n"), F.lit("\\n"))
-    pairs = F.transform(F.array_sort(F.map_entries("labels")), lambda e: F.concat(F.translate(e["key"], ".", "_"), F.lit('="'), escape(e["value"]), F.lit('"')))
-    labels = F.when(F.size(pairs) > 0, F.concat(F.lit("{"), F.array_join(pairs, ","), F.lit("}"))).otherwise(F.lit(""))
-    samples = points.select(name.alias("name"), F.lit(1).alias("_k"), F.concat(name, labels, F.lit(" "), F.col("value").cast("string")).alias("line"))
-    heads = samples.select("name").distinct().select("name", F.lit(0).alias("_k"), F.concat(F.lit("# HELP "), "name", F.lit(f" {help_}\n# TYPE "), "name", F.lit(f" {kind}")).alias("line"))
-    return heads.unionByName(samples).orderBy("name", "_k", "line").select("name", "line")
+    pairs = F.transform(labels, lambda e: F.concat(e["key"], F.lit('="'), escape(e["value"]), F.lit('"')))
+    return F.concat(F.lit("{"), F.array_join(pairs, ","), F.lit("}"))
+
+
+def _number(value: Column) -> Column:
+    """A number as the format writes it: whole ones without a fraction."""
+    return F.when(value == F.floor(value), F.floor(value).cast("string")).otherwise(value.cast("string"))
+
+
+def _headed(samples: DataFrame, kind: str, help_: str) -> DataFrame:
+    """samples: name, _key, _part, line. HELP, unless it is empty, and TYPE come before each name's first sample."""
+    said = F.lit(f" {help_}\n") if help_ else F.lit("")
+    about = F.concat(F.lit("# HELP "), "name", said) if help_ else said
+    heads = samples.select("name").distinct().select("name", F.lit("").alias("_key"), F.struct(F.lit(-1).alias("_kind"), F.lit(0.0).alias("_place")).alias("_part"), F.concat(about, F.lit("# TYPE "), "name", F.lit(f" {kind}")).alias("line"))
+    return heads.unionByName(samples).orderBy("name", "_key", "_part").select("name", "line")
+
+
+def exposition(points: DataFrame, kind: str, help_: str, unit: str = "") -> DataFrame:
+    """points: name, labels (map), value. name, line: the text exposition format of counters and gauges, a metric's samples
+    by label. Counters are named _total; label keys stay as they are."""
+    name = F.concat(metric_name("name", unit), F.lit("_total" if kind == "counter" else ""))
+    labels = _labels(F.array_sort(F.map_entries("labels")))
+    samples = points.select(name.alias("name"), labels.alias("_key"), F.struct(F.lit(0).alias("_kind"), F.lit(0.0).alias("_place")).alias("_part"), F.concat(name, labels, F.lit(" "), F.col("value").cast("string")).alias("line"))
+    return _headed(samples, kind, help_)
+
+
+def histogram_exposition(points: DataFrame, help_: str, unit: str = "") -> DataFrame:
+    """points: name, labels (map) and histogram()'s le, n, total, samples. name, line: a _bucket line for each bound, then
+    _sum and _count, for each combination of labels. The last label is le."""
+    name, pairs = metric_name("name", unit), F.array_sort(F.map_entries("labels"))
+    le = F.coalesce(_number(F.col("le")), F.lit("+Inf"))
+    bounded = _labels(F.concat(pairs, F.array(F.struct(F.lit("le").alias("key"), le.alias("value")))))
+    line = lambda tail, labels, value: F.concat(name, F.lit(tail), labels, F.lit(" "), value)
+    rows = points.withColumn("_key", _labels(pairs)).withColumn("_bucket", line("_bucket", bounded, F.col("n").cast("string")))
+    rows = rows.withColumn("_sum", line("_sum", F.col("_key"), _number(F.col("total")))).withColumn("_count", line("_count", F.col("_key"), F.col("samples").cast("string")))
+    place = F.when(F.col("le").isNull(), float("inf")).otherwise(F.col("le"))
+    buckets = rows.select(name.alias("name"), "_key", F.lit(0).alias("_kind"), place.alias("_place"), F.col("_bucket").alias("line"))
+    ends = rows.filter("le IS NULL").select(name.alias("name"), "_key", F.posexplode(F.array("_sum", "_count")).alias("_kind", "line"))
+    samples = buckets.unionByName(ends.select("name", "_key", (F.col("_kind") + 1).alias("_kind"), F.lit(0.0).alias("_place"), "line"))
+    return _headed(samples.select("name", "_key", F.struct("_kind", "_place").alias("_part"), "line"), "histogram", help_)

@@ -141,7 +141,7 @@ def referrers_fallback(m: Model) -> DataFrame:
 
 _WALK = f"""RECURSIVE chain AS (SELECT repo, n, status, lag(n) OVER (PARTITION BY customer ORDER BY at_, n) AS before FROM orders_), bad AS (SELECT DISTINCT repo FROM orders_ WHERE n % 5003 = 77),
     walk AS (SELECT repo, n, before FROM chain WHERE status <> 'F' AND NOT EXISTS (SELECT 1 FROM bad WHERE bad.repo = chain.repo)
-        UNION SELECT c.repo, c.n, c.before FROM walk w JOIN chain c ON c.n = w.before WHERE w.n % 3 = 1),
+        UNION SELECT c.repo, c.n, c.before FROM walk w JOIN chain c ON c.n = w.before WHERE w.n % 3 = 1 AND w.n % 4001 <> 7),
     lost AS (SELECT repo FROM bad UNION SELECT repo FROM walk WHERE n % 4001 = 7)"""
 
 

@@ -37,6 +37,12 @@ def test_quota(spark, rows):
     assert (None, 251) in rows(accounting.usage(writes)) and ("r", 151) in rows(accounting.usage(writes))
     events = spark.createDataFrame([("r", i, d) for i, d in enumerate([-1, 1, 1, -1, -1, -1, 1])], "repo string, seq long, delta int")
     assert [r["active"] for r in accounting.sessions(events).orderBy("seq").collect()] == [0, 1, 2, 1, 0, 0, 1]
+    capped = accounting.admitted_sessions(events.select("seq", "delta"), 1).orderBy("seq").collect()
+    assert [(r["admitted"], r["active"]) for r in capped] == [(True, 0), (True, 1), (False, 1), (True, 0), (True, 0), (True, 0), (True, 1)]
+    both = spark.createDataFrame([("r", 1, 60), ("r", 2, 50), ("s", 3, 50), ("s", 4, 40), ("r", 5, 5)], "repo string, seq long, size long")
+    verdicts = lambda r, t: [x["refused_by"] for x in accounting.capped_admission(both, r, t).orderBy("seq").collect()]
+    assert verdicts(100, 105) == [None, "repository", "total", None, None] and verdicts(0, 0) == [None] * 5
+    assert verdicts(100, 1000) == [None, "repository", None, None, None] and verdicts(0, 100) == [None, "total", "total", None, "total"]
     chunks = spark.createDataFrame([("u", 1, 0, 5), ("u", 2, 4, 5), ("u", 3, 5, 5)], "session string, seq long, offset long, size long")
     assert [r["accepted"] for r in accounting.upload_offsets(chunks).orderBy("seq").collect()] == [True, False, True]
 
@@ -147,7 +153,13 @@ def test_telemetry(spark, rows):
     raw = spark.createDataFrame([("a", i, r) for i, r in enumerate([5, 9, 2, 3, 1])], "k string, t long, raw long")
     assert [r["total"] for r in telemetry.monotone(raw, ["k"], "t", "raw").orderBy("t").collect()] == [5, 9, 11, 12, 13]
     points = spark.createDataFrame([("a.b", {"x": 'q"\\\n'}, 1)], "name string, labels map<string,string>, value long")
-    assert telemetry.exposition(points, "counter", "h").collect()[-1]["line"] == 'a_b{x="q\\"\\\\\\n"} 1'
+    assert telemetry.exposition(points, "counter", "h").collect()[-1]["line"] == 'a_b_total{x="q\\"\\\\\\n"} 1'
+    bare = spark.createDataFrame([("a.b", {}, 1)], "name string, labels map<string,string>, value long")
+    assert [r["line"] for r in telemetry.exposition(bare, "gauge", "").collect()] == ["# TYPE a_b gauge", "a_b{} 1"]
+    seconds = spark.createDataFrame([("g.x", 0.25), ("g.x", 1.0), ("g.x", 7.0)], "k string, v double")
+    hist = telemetry.histogram(seconds, ["k"], "v", [0.25, 5.0]).select(F.lit("t.d").alias("name"), F.create_map(F.lit("a.k"), "k").alias("labels"), "le", "n", "total", "samples")
+    lines = [r["line"] for r in telemetry.histogram_exposition(hist, "H.", "s").collect()]
+    assert lines == ["# HELP t_d_seconds H.\n# TYPE t_d_seconds histogram", 't_d_seconds_bucket{a.k="g.x",le="0.25"} 1', 't_d_seconds_bucket{a.k="g.x",le="5"} 2', 't_d_seconds_bucket{a.k="g.x",le="+Inf"} 3', 't_d_seconds_sum{a.k="g.x"} 8.25', 't_d_seconds_count{a.k="g.x"} 3']
 
 
 def test_bench(spark, rows):

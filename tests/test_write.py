@@ -72,3 +72,27 @@ def test_two_levels(spark):
         for g in ("a", "b", "one"):
             v = sorted(x[2] for x in data if x[0] == g)
             assert out[g] == (v[0], v[len(v) // 2], v[-1])
+
+
+def test_two_level_folds(spark):
+    rng = random.Random(2)
+    data = [(g, t, rng.choice([-1, -1, 1, 1, 1]), rng.randrange(50)) for g in ("a", None) for t in [*range(150), 10**9]] + [("one", 5, -1, 3)]
+    df = spark.createDataFrame(data, "g string, t long, d int, raw long")
+    for buckets in (1, 3, 4096):
+        floor = {(r["g"], r["t"]): r["o"] for r in ordered.running_floor(df, ["g"], "t", "d", "o", buckets).collect()}
+        total = {(r["g"], r["t"]): r["o"] for r in ordered.without_resets(df, ["g"], "t", "raw", "o", buckets).collect()}
+        place = {(r["g"], r["t"]): r["o"] for r in ordered.numbered(df, ["g"], "t", "o", buckets).collect()}
+        for g in ("a", None, "one"):
+            active, lost, before = 0, 0, None
+            for i, (_, t, d, raw) in enumerate(sorted((x for x in data if x[0] == g), key=lambda x: x[1]), 1):
+                active = max(0, active + d)
+                lost += before if before is not None and raw < before else 0
+                before = raw
+                assert (floor[(g, t)], total[(g, t)], place[(g, t)]) == (active, raw + lost, i)
+    assert ordered.numbered(df.limit(0), ["g"], "t", "o").isEmpty()
+
+
+def test_even_ranges(spark):
+    spread = spark.range(20_000).select(F.lit("g").alias("g"), F.when(F.col("id") == 0, 10**15).otherwise(F.col("id")).alias("v"))
+    sizes = [r["count"] for r in ordered.placed(spread, ["g"], "v").groupBy("_bucket").count().collect()]
+    assert len(sizes) == 4 and max(sizes) < 8_000  # one outlier crowds nothing
