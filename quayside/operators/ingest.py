@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quayside.functions.digests import crc32c_col
+from quayside.functions.digests import crc32c_col, digest_of, is_digest, matches_digest
 from quayside.functions.headers import artifact_type, json_depth, media_type, media_types_agree
 from quayside.operators import accounting, integrity, layout, lookup
 
@@ -36,13 +36,36 @@ def blob_records(accepted: DataFrame) -> DataFrame:
     return record(accepted, "put_checksum", crc=crc32c_col(F.col("content")), size=F.octet_length("content"))
 
 
+def _malformed(document: Column) -> Column:
+    """Whether a manifest names its media type, config or layers in a way that can't be read; what is absent is well."""
+    proper = lambda d: is_digest(F.try_variant_get(d, "$.digest", "string"))
+    media, config, layers = (F.try_variant_get(document, f"$.{k}", "variant") for k in ("mediaType", "config", "layers"))
+    listed = F.try_variant_get(document, "$.layers", "array<variant>")
+    return (
+        F.coalesce(F.schema_of_variant(media) != "STRING", F.lit(False))
+        | (config.isNotNull() & ~proper(config))
+        | (layers.isNotNull() & listed.isNull())
+        | F.coalesce(F.exists(listed, lambda d: ~proper(d)), F.lit(False))
+    )
+
+
+def named(requests: DataFrame) -> DataFrame:
+    """requests: reference, body. Adds digest, tag and matches: a reference with a colon must be the body's digest, by its own
+    algorithm; any other is a tag, and the digest is the body's SHA-256."""
+    by_digest = F.instr("reference", ":") > 0
+    out = requests.withColumn("digest", F.when(by_digest, F.lower("reference")).otherwise(digest_of("body")))
+    out = out.withColumn("tag", F.when(~by_digest, F.col("reference")))
+    return out.withColumn("matches", ~by_digest | (is_digest("reference") & matches_digest("body", "reference")))
+
+
 def put_manifests(manifests: DataFrame, blobs: DataFrame) -> DataFrame:
     """manifests: repo, seq, digest, tag, content_type, body; blobs: repo, digest. Adds verdict: `too deep`, `invalid` (the
-    body's media type isn't the header's), `blob unknown` (a config or layer that the repository lacks) or `accepted`. A
+    body's media type isn't the header's or no string, the layers are no array, or the config or a layer has no proper
+    digest), `blob unknown` (a config or layer that the repository lacks) or `accepted`. A
     body that isn't JSON refers to nothing and is accepted."""
     m = manifests.withColumn("_m", layout.parse())
     own = F.col("_m.mediaType")
-    clash = ~media_types_agree(F.col("content_type"), own)
+    clash = ~media_types_agree(F.col("content_type"), own) | _malformed(F.try_parse_json("body"))
     needed = F.concat(F.array("_m.config"), F.coalesce("_m.layers", F.array()))
     refs = m.select("repo", F.col("digest").alias("manifest"), F.explode(F.transform(needed, lambda d: d["digest"])).alias("blob")).filter("blob IS NOT NULL")
     lacking = lookup.missing_references(refs, blobs).select("repo", F.col("manifest").alias("digest")).distinct().withColumn("_lacks", F.lit(True))

@@ -78,3 +78,20 @@ def due(candidates: DataFrame, now: Column, delay_s: int) -> DataFrame:
 def missing_references(edges: DataFrame, blobs: DataFrame) -> DataFrame:
     """repo, manifest, blob of references to blobs that their repository lacks."""
     return edges.select("repo", "manifest", "blob").join(blobs.select("repo", F.col("digest").alias("blob")), ["repo", "blob"], "left_anti").distinct()
+
+
+def _mark() -> Column:
+    return F.xxhash64(F.concat("repo", F.lit("\0"), "digest"))
+
+
+def presence_filter(blobs: DataFrame) -> DataFrame:
+    """mark: 64 bits for each blob (repo, digest), an index to ask before the listing, nine times smaller than digests."""
+    return blobs.select(_mark().alias("mark")).distinct()
+
+
+def maybe_present(requests: DataFrame, marks: DataFrame, capacity: int) -> DataFrame:
+    """requests: repo, digest. Adds maybe: false is certain absence, true is to be verified. A filter with more marks than
+    its capacity is no longer kept up and says true to everything; a request with a null is absent."""
+    full = marks.agg((F.count("*") > capacity).alias("_full"))  # one row
+    hits = requests.withColumn("mark", _mark()).join(marks.withColumn("_hit", F.lit(True)), "mark", "left")
+    return hits.crossJoin(F.broadcast(full)).withColumn("maybe", F.col("_full") | F.coalesce("_hit", F.lit(False))).drop("mark", "_hit", "_full")

@@ -159,6 +159,12 @@ def scrub_adaptive(m: Model) -> DataFrame:
     return paging.adaptive_order(paging.scrub_order(m.blobs.select("repo", "digest")), F.lit(REPO), 5000).select("repo", "digest", "position", "turn")
 
 
+@query("blob_maybe_present", "SELECT o.repo, 'sha256:' || sha256('part-' || (n % 3000)) AS digest, EXISTS (SELECT 1 FROM blobs b WHERE b.repo = o.repo AND b.digest = 'sha256:' || sha256('part-' || (n % 3000))) AS maybe FROM orders_ o", "blobs", "orders_")
+def blob_maybe_present(m: Model) -> DataFrame:
+    asked = m.orders.select("repo", (F.col("n") % 3000).alias("n")).select("repo", digest("part-", "n").alias("digest"))
+    return lookup.maybe_present(asked, lookup.presence_filter(m.blobs), 1 << 40)
+
+
 # --- joins and collection --------------------------------------------------------------------------------------------
 
 
@@ -249,9 +255,33 @@ def quota_running_usage(m: Model) -> DataFrame:
     return accounting.running_usage(m.contents.select("repo", "seq", "size"))
 
 
-@query("quota_admission")
+_CAP, _TOTAL = 60_000, 150_000
+_NUMBERED = "w AS MATERIALIZED (SELECT repo, seq, size, row_number() OVER ({0}ORDER BY seq) AS k FROM contents)"
+
+
+@query("quota_admission", f"""WITH RECURSIVE {_NUMBERED.format('PARTITION BY repo ')}, fold AS (SELECT repo, seq, size, k, size <= {_CAP} AS admitted, CASE WHEN size <= {_CAP} THEN size ELSE 0 END AS used FROM w WHERE k = 1
+    UNION ALL SELECT w.repo, w.seq, w.size, w.k, f.used + w.size <= {_CAP}, CASE WHEN f.used + w.size <= {_CAP} THEN f.used + w.size ELSE f.used END FROM fold f JOIN w ON w.repo = f.repo AND w.k = f.k + 1)
+    SELECT repo, seq, size, admitted, used FROM fold""", "contents")
 def quota_admission(m: Model) -> DataFrame:
-    return accounting.admission(m.contents.select("repo", "seq", "size"), 60_000)
+    return accounting.admission(m.contents.select("repo", "seq", "size"), _CAP)
+
+
+@query("quota_both_caps", f"""WITH RECURSIVE {_NUMBERED.format('')}, fold AS (SELECT CAST(0 AS BIGINT) AS k, MAP {{}}::MAP(VARCHAR, BIGINT) AS own, CAST(0 AS BIGINT) AS total, NULL::VARCHAR AS repo, NULL::BIGINT AS seq, NULL::BIGINT AS size, NULL::VARCHAR AS refused_by
+    UNION ALL SELECT k, CASE WHEN verdict IS NULL THEN map_concat(own, MAP([repo], [used + size])) ELSE own END, CASE WHEN verdict IS NULL THEN total + size ELSE total END, repo, seq, size, verdict
+    FROM (SELECT *, CASE WHEN used + size > {_CAP} THEN 'repository' WHEN total + size > {_TOTAL} THEN 'total' END AS verdict FROM (SELECT w.k, w.repo, w.seq, w.size, f.own, f.total, coalesce(f.own[w.repo], 0) AS used FROM fold f JOIN w ON w.k = f.k + 1)))
+    SELECT repo, seq, size, refused_by FROM fold WHERE k > 0""", "contents")
+def quota_both_caps(m: Model) -> DataFrame:
+    return accounting.capped_admission(m.contents.select("repo", "seq", "size"), _CAP, _TOTAL)
+
+
+@query("upload_sessions_capped", """WITH RECURSIVE w AS MATERIALIZED (SELECT event_id AS seq, CASE WHEN user_id % 3 < 2 THEN 1 ELSE -1 END AS delta, row_number() OVER (ORDER BY event_id) AS k FROM events WHERE event_type = 'purchase'),
+    fold AS (SELECT CAST(0 AS BIGINT) AS k, NULL::BIGINT AS seq, 0 AS delta, true AS admitted, CAST(0 AS BIGINT) AS active
+    UNION ALL SELECT w.k, w.seq, w.delta, w.delta < 0 OR f.active < 40, CASE WHEN w.delta < 0 THEN greatest(f.active - 1, 0) WHEN f.active < 40 THEN f.active + 1 ELSE f.active END FROM fold f JOIN w ON w.k = f.k + 1)
+    SELECT seq, delta, admitted, active FROM fold WHERE k > 0""")
+def upload_sessions_capped(m: Model) -> DataFrame:
+    """Uploads begin with a put of most clients and end with the others'."""
+    puts = m.requests.filter("method = 'PUT'").select("seq", F.when(F.expr("client % 3 < 2"), 1).otherwise(-1).alias("delta"))
+    return accounting.admitted_sessions(puts, 40)
 
 
 @query("upload_sessions_running", """SELECT method, seq, CAST(s - least(min(s) OVER (PARTITION BY method ORDER BY seq ROWS UNBOUNDED PRECEDING), 0) AS BIGINT) AS active
@@ -261,19 +291,33 @@ def upload_sessions_running(m: Model) -> DataFrame:
     return accounting.sessions(events).select(F.col("repo").alias("method"), "seq", "active")
 
 
-@query("rate_limit_decisions")
+def _bucket_sql(key: str, rate: str, burst: str) -> str:
+    """Token buckets as a recursion over the requests of a key."""
+    return f"""WITH RECURSIVE w AS MATERIALIZED (SELECT {key} AS key, seq, CAST(epoch(at_) AS DOUBLE) AS "at", {rate} AS rate, {burst} AS burst, row_number() OVER (PARTITION BY {key} ORDER BY at_, seq) AS k FROM requests),
+    fold AS (SELECT key, k, seq, "at", "at" AS last, burst - CASE WHEN burst >= 1 THEN 1 ELSE 0 END AS tokens, burst >= 1 AS admitted, CAST(CASE WHEN burst >= 1 THEN 0 ELSE ceil((1 - burst) / rate) END AS BIGINT) AS retry_after FROM w WHERE k = 1
+    UNION ALL SELECT key, k, seq, "at", greatest(last, "at"), CASE WHEN have >= 1 THEN have - 1 ELSE have END, have >= 1, CAST(CASE WHEN have >= 1 THEN 0 ELSE ceil((1 - have) / rate) END AS BIGINT)
+    FROM (SELECT w.*, f.last, least(w.burst, f.tokens + greatest(0.0::DOUBLE, w."at" - f.last) * w.rate) AS have FROM fold f JOIN w ON w.key = f.key AND w.k = f.k + 1))
+    SELECT key, seq, "at", admitted, retry_after FROM fold"""
+
+
+@query("rate_limit_decisions", _bucket_sql("CASE WHEN method IN ('PUT', 'DELETE') THEN method ELSE '*' END", "CAST(CASE method WHEN 'PUT' THEN 0.0005 WHEN 'DELETE' THEN 0.0002 ELSE 0.002 END AS DOUBLE)", "CAST(CASE method WHEN 'PUT' THEN 3.0 WHEN 'DELETE' THEN 2.0 ELSE 5.0 END AS DOUBLE)"), "requests")
 def rate_limit_decisions(m: Model) -> DataFrame:
     rows = m.requests.select("method", "seq", (F.col("at").cast("double")).alias("at"))
     return traffic.by_method(rows, {"PUT": (0.0005, 3.0), "DELETE": (0.0002, 2.0)}, (0.002, 5.0))
 
 
-@query("rate_limit_per_client")
+@query("rate_limit_per_client", _bucket_sql("CAST(client AS VARCHAR)", "CAST(0.0001 AS DOUBLE)", "CAST(2.0 AS DOUBLE)"), "requests")
 def rate_limit_per_client(m: Model) -> DataFrame:
     rows = m.requests.select(F.col("client").alias("key"), "seq", F.col("at").cast("double").alias("at"))
     return traffic.decisions(rows, {}, (0.0001, 2.0))
 
 
-@query("cache_simulation")
+@query("cache_simulation", """WITH RECURSIVE w AS MATERIALIZED (SELECT client % 8 AS worker, seq, 'k' || (seq * 31 % 211) AS key, seq % 5000 AS size, row_number() OVER (PARTITION BY client % 8 ORDER BY seq) AS k FROM requests),
+    fold AS (SELECT DISTINCT worker, CAST(0 AS BIGINT) AS k, NULL::BIGINT AS seq, NULL::VARCHAR AS key, NULL::BIGINT AS size, false AS hit, []::STRUCT(name VARCHAR, bytes BIGINT)[] AS held FROM w
+    UNION ALL SELECT worker, k, seq, key, size, hit, list_filter(held, lambda x, i: coalesce(list_sum(list_transform(held[i:], lambda y: y.bytes)), 0) <= 50000)
+    FROM (SELECT worker, k, seq, key, size, hit, CASE WHEN hit THEN list_filter(held, lambda x: x.name <> key) || list_filter(held, lambda x: x.name = key) WHEN size <= 4000 THEN held || [{'name': key, 'bytes': length(key) + size + 128}] ELSE held END AS held
+        FROM (SELECT w.*, f.held, len(list_filter(f.held, lambda x: x.name = w.key)) > 0 AS hit FROM fold f JOIN w ON w.worker = f.worker AND w.k = f.k + 1)))
+    SELECT worker, seq, key, size, hit FROM fold WHERE k > 0""", "requests")
 def cache_simulation(m: Model) -> DataFrame:
     rows = m.requests.select((F.col("client") % 8).alias("worker"), "seq", F.concat(F.lit("k"), (F.col("seq") * 31 % 211).cast("string")).alias("key"), (F.col("seq") % 5000).alias("size"))
     return traffic.cache_hits(rows, 50_000, 4_000)

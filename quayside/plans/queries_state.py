@@ -394,8 +394,24 @@ def profile_categories(m: Model) -> DataFrame:
     return _rounded(benchstats.categories(m.requests.select(F.array(F.lit("main"), leaf).alias("frames"), (F.col("client") + 1).alias("n")), "quay_"), "pct")
 
 
-@query("metrics_exposition")
+@query("metrics_exposition", """SELECT 'registry_http_requests_total' AS name, 'registry_http_requests_total{class="' || class || '",method="' || method || '"} ' || n AS line FROM (SELECT status // 100 || 'xx' AS class, method, count(*) AS n FROM requests GROUP BY 1, 2)
+    UNION ALL SELECT 'registry_http_requests_total', '# HELP registry_http_requests_total Requests by method and status class.' || chr(10) || '# TYPE registry_http_requests_total counter'""", "requests")
 def metrics_exposition(m: Model) -> DataFrame:
     counted = telemetry.counters(m.requests.withColumn("class", _status_class()), ["method", "class"])
     points = counted.select(F.lit("registry.http.requests").alias("name"), F.create_map(F.lit("method"), F.col("method"), F.lit("class"), F.col("class")).alias("labels"), F.col("n").alias("value"))
     return telemetry.exposition(points, "counter", "Requests by method and status class.")
+
+
+_BOUNDS = [0.025, 0.1, 0.5, 1.0]
+_LE = "(VALUES " + ", ".join(f"({b}, '{b:g}')" for b in _BOUNDS) + ", (1e300, '+Inf')) AS bounds(most, le)"
+
+
+@query("histogram_exposition", f"""WITH s AS (SELECT method, CAST(round(seconds * 1000) AS BIGINT) AS v FROM requests)
+    SELECT 'registry_wait' AS name, 'registry_wait_bucket{{method="' || method || '",le="' || le || '"}} ' || count(*) FILTER (v <= most * 1000) AS line FROM s, {_LE} GROUP BY method, le
+    UNION ALL SELECT 'registry_wait', 'registry_wait_sum{{method="' || method || '"}} ' || sum(v) FROM s GROUP BY method UNION ALL SELECT 'registry_wait', 'registry_wait_count{{method="' || method || '"}} ' || count(*) FROM s GROUP BY method
+    UNION ALL SELECT 'registry_wait', '# HELP registry_wait Waits.' || chr(10) || '# TYPE registry_wait histogram'""", "requests")
+def histogram_exposition(m: Model) -> DataFrame:
+    """Waits in whole milliseconds, so that sums are the same in any order; bounds stand for seconds."""
+    waits = m.requests.select("method", F.round(F.col("seconds") * 1000).cast("long").alias("v"))
+    hist = telemetry.histogram(waits, ["method"], "v", [b * 1000 for b in _BOUNDS]).withColumn("le", F.col("le") / 1000)
+    return telemetry.histogram_exposition(hist.select(F.lit("registry.wait").alias("name"), F.create_map(F.lit("method"), F.col("method")).alias("labels"), "le", "n", "total", "samples"), "Waits.")

@@ -96,3 +96,25 @@ def test_even_ranges(spark):
     spread = spark.range(20_000).select(F.lit("g").alias("g"), F.when(F.col("id") == 0, 10**15).otherwise(F.col("id")).alias("v"))
     sizes = [r["count"] for r in ordered.placed(spread, ["g"], "v").groupBy("_bucket").count().collect()]
     assert len(sizes) == 4 and max(sizes) < 8_000  # one outlier crowds nothing
+
+
+def test_malformed_manifests(spark):
+    good, media = sha(b"layer"), "application/vnd.oci.image.manifest.v1+json"
+    bodies = ['{"config":{"digest":"none"}}', '{"config":null}', '{"config":{}}', '{"layers":"x"}', '{"layers":[{"digest":"%s"},5]}' % good, '{"mediaType":5}', '{"layers":[]}', '{"config":{"digest":"%s"},"layers":[{"digest":"%s","size":"x"}]}' % (good, good), "{}", "5"]
+    m = spark.createDataFrame([("r", i, sha(b"%d" % i), None, media, b) for i, b in enumerate(bodies)], "repo string, seq long, digest string, tag string, content_type string, body string")
+    out = ingest.put_manifests(m, spark.createDataFrame([("r", good)], "repo string, digest string"))
+    assert [r["verdict"] for r in out.orderBy("seq").collect()] == ["invalid"] * 6 + ["accepted"] * 4
+    asked = [("latest", "{}"), (sha(b"{}"), "{}"), (sha(b"x"), "{}"), ("md5:1", "{}"), ("sha512:" + hashlib.sha512(b"{}").hexdigest(), "{}")]
+    out = ingest.named(spark.createDataFrame(asked, "reference string, body string")).collect()
+    assert [(r["digest"] == sha(b"{}"), r["tag"], r["matches"]) for r in out] == [(True, "latest", True), (True, None, True), (False, None, False), (False, None, False), (False, None, True)]
+
+
+def test_presence(spark):
+    key = "repo string, digest string"
+    marks = lookup.presence_filter(spark.createDataFrame([("r", "a"), ("r", "a"), ("s", "b")], key))
+    asked = spark.createDataFrame([("r", "a"), ("s", "a"), (None, "b"), ("s", "b")], key)
+    said = lambda cap: sorted((str(r["repo"]), r["digest"], r["maybe"]) for r in lookup.maybe_present(asked, marks, cap).collect())
+    assert marks.count() == 2
+    assert said(2) == [("None", "b", False), ("r", "a", True), ("s", "a", False), ("s", "b", True)]
+    assert all(m for _, _, m in said(1))  # over its capacity it excludes nothing
+    assert not any(r["maybe"] for r in lookup.maybe_present(asked, marks.limit(0), 2).collect())
