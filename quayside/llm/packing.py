@@ -29,6 +29,8 @@ from quayside.llm.common import _SPACE, mapped, order_id, partitions_for, store,
 
 #: Words a worker remembers the ids of; beyond it, it keeps those of the batch at hand, which has the common ones.
 CACHED = 300_000
+#: Rows and bytes of ids after which pieces leave a worker, so that a batch is small with ids as well as without.
+OUT_ROWS, OUT_BYTES = 4096, 4 << 20
 BITS, DIMS, BUCKETS = 16, 3, 256
 
 
@@ -229,11 +231,13 @@ def pack(docs: DataFrame, path: str, length: int = 2048, end_id: int = 1, with_i
         sequence = TaskContext.get().partitionId() << 32
         out: list[list] = [[] for _ in names]
         open_: list[tuple[int, int, int, np.ndarray]] = []  # pieces of the sequence that isn't full yet
-        room = length
+        room, held = length, 0
 
         def write(piece: tuple[int, int, int, np.ndarray], at: int) -> None:
+            nonlocal held
             doc, start, tokens, ids = piece
             raw = ids.astype("<u4")
+            held += raw.nbytes if with_ids else 0
             for column, value in zip(out, (doc, start, len(ids), zlib.crc32(raw.tobytes()), tokens, sequence, at, raw.view(np.int32))):
                 column.append(value)
 
@@ -246,6 +250,8 @@ def pack(docs: DataFrame, path: str, length: int = 2048, end_id: int = 1, with_i
             sequence += 1
 
         def emit() -> pa.RecordBatch:
+            nonlocal held
+            held = 0
             kinds = [pa.int64()] * 7 + [pa.list_(pa.int32())]
             batch = pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds)], names=names)
             for column in out:
@@ -264,8 +270,8 @@ def pack(docs: DataFrame, path: str, length: int = 2048, end_id: int = 1, with_i
                     if not room:
                         close(open_)
                         open_, room = [], length
-                if len(out[0]) >= 4096:
-                    yield emit()
+                        if len(out[0]) >= OUT_ROWS or held >= OUT_BYTES:
+                            yield emit()
         for size in _powers_of_two(length - room):  # the range's tail
             taken: list[tuple[int, int, int, np.ndarray]] = []
             while size:
