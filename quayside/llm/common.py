@@ -147,6 +147,7 @@ def mapped(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.
         try:
             yield from run(batches)
         finally:
+            _powers.clear()
             gc.collect()
             pa.default_memory_pool().release_unused()
             try:

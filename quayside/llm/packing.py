@@ -146,14 +146,24 @@ class WordTokenizer:
 
 
 _tokenizers: dict[str, WordTokenizer] = {}
+_kinds: dict[str, type] = {}
 
 
 def tokenizer(path: str) -> WordTokenizer:
     if path not in _tokenizers:
         _tokenizers[path] = WordTokenizer(path)
+        _kinds[path] = _tokenizers[path].kind
     return _tokenizers[path]
 
 
+def id_kind(path: str) -> type:
+    """The width of ids as stored; the tokenizer and the words it remembers go, as nothing is left to encode."""
+    if path not in _kinds:
+        tokenizer(path)
+    _tokenizers.clear()
+    return _kinds[path]
+
+
 def hilbert(grid: np.ndarray, bits: int) -> np.ndarray:
     """The place on a Hilbert curve of each row of grid (n, dims), by the transposition method of Skilling (2004)."""
     x = grid.astype(np.int64).T.copy()
@@ -227,7 +237,7 @@ def pack(docs: DataFrame, path: str, length: int = 2048, end_id: int = 1, with_i
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        kind = tokenizer(path).kind
+        kind = id_kind(path)
         sequence = TaskContext.get().partitionId() << 32
         out: list[list] = [[] for _ in names]
         open_: list[tuple[int, int, int, np.ndarray]] = []  # pieces of the sequence that isn't full yet
