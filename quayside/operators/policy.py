@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -26,6 +28,37 @@ def winning_rules(repos: DataFrame, rules: list[tuple[int, str]]) -> DataFrame:
     return repos.withColumn("rule", won.cast("int"))
 
 
+#: Versions of a policy at most; their times go to each worker with the function that looks them up.
+MAX_VERSIONS = 100_000
+
+
+def versions(snapshots: DataFrame, interval: int) -> DataFrame:
+    """snapshots: seq, at, valid: each writing of the policy's file, valid if it can be read as a policy. seq, since: those
+    that ever come into force, when the file is polled at multiples of interval. What is replaced before a poll is never
+    seen; what is invalid when seen leaves the one before in force."""
+    since = F.when(F.col("at") <= 0, F.lit(0)).otherwise(F.ceil(F.col("at") / interval) * interval).cast("long")
+    seen = snapshots.filter("at IS NOT NULL").groupBy(since.alias("since")).agg(F.max_by(F.struct("seq", "valid"), F.struct("at", "seq")).alias("last"))
+    return seen.filter("last.valid").select("last.seq", "since")
+
+
+def in_force(requests: DataFrame, snapshots: DataFrame, interval: int) -> DataFrame:
+    """requests: at. Adds version: the snapshot's seq that is in force then; null before the first, and for a null at.
+
+    Versions are policy, a bounded list on the driver; each request finds its own by bisection, without a join."""
+    rows = versions(snapshots, interval).orderBy("since").limit(MAX_VERSIONS + 1).collect()
+    if len(rows) > MAX_VERSIONS:
+        raise ValueError(f"more than {MAX_VERSIONS} versions of the policy")
+    since, seqs = [r["since"] for r in rows], [r["seq"] for r in rows]
+
+    @F.pandas_udf("long")
+    def find(at: pd.Series) -> pd.Series:
+        place = np.searchsorted(np.asarray(since, np.float64), at.to_numpy(np.float64), side="right") - 1
+        found = pd.Series(np.asarray([*seqs, 0], np.int64)[place], dtype="Int64")
+        return found.mask((place < 0) | at.isna().to_numpy())
+
+    return requests.withColumn("version", find(F.col("at").cast("double")))
+
+
 def members(groups: DataFrame) -> DataFrame:
     """groups: name, user. user, groups: each user's groups."""
     return groups.groupBy("user").agg(F.sort_array(F.collect_set("name")).alias("groups"))

@@ -86,6 +86,41 @@ def cache_hits(requests: DataFrame, budget: int, most: int) -> DataFrame:
     return requests.select("worker", "seq", "key", "size").repartition("worker").sortWithinPartitions("worker", "seq").mapInPandas(fold, schema)
 
 
+def credential(user: Column, password: Column) -> Column:
+    """What a login is remembered by, so that no password moves or is kept."""
+    return F.sha2(F.concat(user, F.lit("\0"), password), 256)
+
+
+def credential_hits(logins: DataFrame, ttl: int, capacity: int = 4096) -> DataFrame:
+    """logins: worker, seq, at, credential, valid (what the user directory would say). Adds hit: the credential was accepted
+    less than ttl ago and is remembered still. Each worker remembers accepted ones only, forgets one that is found expired,
+    and forgets all when another is to be kept beside capacity of them; hits don't prolong. A ttl of 0 remembers nothing.
+    One fold a worker in order of at and seq (nulls first), which holds capacity entries; a null valid is a refusal, a null
+    credential or at is never remembered."""
+    names = ["worker", "seq", "at", "credential", "valid"]
+    rows = logins.select(*names).withColumn("valid", F.coalesce("valid", F.lit(False)) & F.col("credential").isNotNull() & F.col("at").isNotNull())
+    schema = T.StructType([*rows.schema.fields, T.StructField("hit", T.BooleanType())])
+
+    def fold(batches):
+        worker, until = None, {}
+        for frame in batches:
+            hits = []
+            for w, at, key, valid in zip(frame["worker"], frame["at"], frame["credential"], frame["valid"]):
+                if w != worker:
+                    worker, until = w, {}
+                hit = key in until and until[key] > at
+                hits.append(hit)
+                if not hit:
+                    until.pop(key, None)
+                    if valid and ttl > 0:
+                        if len(until) >= capacity:
+                            until.clear()
+                        until[key] = at + ttl
+            yield frame.assign(hit=hits)
+
+    return rows.repartition("worker").sortWithinPartitions("worker", "at", "seq").mapInPandas(fold, schema)
+
+
 def required_action(method: Column, path: Column) -> Column:
     """pull, push or delete that a request needs on its repository; null for paths without one."""
     from quayside.functions.paths import parse_path

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quayside.functions import paths
-from quayside.operators import accounting, collect, ingest, lookup, paging, replay, routing, traffic
+from quayside.operators import accounting, collect, ingest, lookup, paging, policy, replay, routing, traffic
 from quayside.plans.fixture import Model, digest
 from quayside.plans.registry import query
 
@@ -323,6 +323,27 @@ def cache_simulation(m: Model) -> DataFrame:
     return traffic.cache_hits(rows, 50_000, 4_000)
 
 
+@query("credential_cache", """WITH RECURSIVE w AS MATERIALIZED (SELECT client % 8 AS worker, seq, seq AS second, sha256(client || chr(0) || seq % 2) AS credential, client % 11 <> 0 AS valid, row_number() OVER (PARTITION BY client % 8 ORDER BY seq) AS k FROM requests),
+    fold AS (SELECT DISTINCT worker, CAST(0 AS BIGINT) AS k, NULL::BIGINT AS seq, NULL::VARCHAR AS credential, false AS hit, []::STRUCT(name VARCHAR, until BIGINT)[] AS held FROM w
+    UNION ALL SELECT worker, k, seq, credential, hit, CASE WHEN hit THEN held WHEN NOT valid THEN rest WHEN len(rest) >= 12 THEN [{'name': credential, 'until': second + 300}] ELSE rest || [{'name': credential, 'until': second + 300}] END
+    FROM (SELECT w.*, f.held, list_filter(f.held, lambda x: x.name <> w.credential) AS rest, len(list_filter(f.held, lambda x: x.name = w.credential AND x.until > w.second)) > 0 AS hit FROM fold f JOIN w ON w.worker = f.worker AND w.k = f.k + 1))
+    SELECT worker, seq, credential, hit FROM fold WHERE k > 0""", "requests")
+def credential_cache(m: Model) -> DataFrame:
+    """Seconds are the request's number; passwords alternate."""
+    key = traffic.credential(F.col("client").cast("string"), (F.col("seq") % 2).cast("string"))
+    rows = m.requests.select((F.col("client") % 8).alias("worker"), "seq", F.col("seq").alias("at"), key.alias("credential"), (F.col("client") % 11 != 0).alias("valid"))
+    return traffic.credential_hits(rows, 300, 12).select("worker", "seq", "credential", "hit")
+
+
+@query("policy_in_force", """WITH s AS (SELECT seq, CASE WHEN seq < 40 THEN 0 ELSE CAST(ceil(seq / 50.0) AS BIGINT) * 50 END AS since, seq % 3 <> 0 AS valid FROM requests WHERE seq % 350 IN (1, 17, 60, 140)),
+    v AS (SELECT since, max(seq) AS version, arg_max(valid, seq) AS valid FROM s GROUP BY 1)
+    SELECT seq, version FROM requests ASOF LEFT JOIN (SELECT since, version FROM v WHERE valid) ON seq >= since""", "requests")
+def policy_in_force(m: Model) -> DataFrame:
+    """Seconds are the request's number; the file is polled every 50, and its first writings are there at the start."""
+    files = m.requests.filter("seq % 350 IN (1, 17, 60, 140)").select("seq", F.expr("CASE WHEN seq < 40 THEN 0 ELSE seq END").alias("at"), (F.col("seq") % 3 != 0).alias("valid"))
+    return policy.in_force(m.requests.select("seq", F.col("seq").alias("at")), files, 50).select("seq", "version")
+
+
 @query("upload_verdicts", """SELECT repo, seq, CASE WHEN size > 100000 THEN 'too large' WHEN seq % 13 = 0 THEN 'invalid digest' WHEN seq % 17 = 0 THEN 'mismatch' ELSE 'accepted' END AS verdict FROM contents""", "contents")
 def upload_verdicts(m: Model) -> DataFrame:
     claimed = F.when(F.expr("seq % 13 = 0"), "none").when(F.expr("seq % 17 = 0"), digest("x", "seq")).otherwise(F.col("digest"))

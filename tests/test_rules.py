@@ -79,6 +79,47 @@ def test_buckets(spark):
     assert [r["hit"] for r in traffic.cache_hits(cache, 2 * 229, 1000).orderBy("seq").collect()] == [False, False, True, False, True, False]
 
 
+def test_credentials(spark):
+    logins = [(0, "a", True), (5, "a", True), (10, "a", True), (11, "b", False), (12, "b", False), (13, "c", True), (14, "a", True), (15, "d", True), (16, "a", True), (17, "d", True), (18, None, True), (19, None, True)]
+    df = spark.createDataFrame([(0, i, t, k, v) for i, (t, k, v) in enumerate(logins)], "worker int, seq long, at long, credential string, valid boolean")
+    hits = lambda ttl: [r["hit"] for r in traffic.credential_hits(df, ttl, 2).orderBy("seq").collect()]
+    # expired at exactly its time; refusals aren't kept; d finds two and clears them, so a is asked for again
+    assert hits(10) == [False, True, False, False, False, False, True, False, False, True, False, False]
+    assert not any(hits(0)) and traffic.credential_hits(df.limit(0), 10).count() == 0
+
+
+def test_policy_versions(spark, rows):
+    files = spark.createDataFrame([(1, 0, True), (2, 3, True), (3, 4, True), (4, 11, False), (5, 12, True), (6, 15, False), (7, None, True)], "seq long, at long, valid boolean")
+    assert rows(policy.versions(files, 5)) == [(1, 0), (3, 5)]  # 2 is replaced before the poll at 5; at 15 an invalid one is seen
+    asked = spark.createDataFrame([(-1,), (0,), (4,), (5,), (99,), (None,)], "at long")
+    assert rows(policy.in_force(asked, files, 5)) == sorted([(-1, None), (0, 1), (4, 1), (5, 3), (99, 3), (None, None)], key=lambda t: tuple((x is None, str(x)) for x in t))
+    assert {r["version"] for r in policy.in_force(asked, files.limit(0), 5).collect()} == {None}
+
+
+def test_reload(spark, tmp_path):
+    from quayside.streaming.policy import Reload, decided
+
+    source, seen = tmp_path / "rules", []
+    source.write_text("a/*")
+
+    def parse(text):
+        if text.startswith("!"):
+            raise ValueError(text)
+        return list(enumerate(text.split()))
+
+    live = Reload(source.read_text, parse)
+    folder = tmp_path / "in"
+    for text, want in [("a/*", 0), ("q a/*", 1), ("!", 1), (None, 1), ("q", None)]:
+        source.write_text(text) if text else source.unlink()
+        spark.createDataFrame([("a/x",)], "repo string").write.mode("append").parquet(str(folder))
+        stream = spark.readStream.schema("repo string").parquet(str(folder))
+        q = decided(stream, live, lambda rows, _: seen.extend(r["rule"] for r in rows.collect()), "0 seconds").option("checkpointLocation", str(tmp_path / "state")).start()
+        q.processAllAvailable()
+        q.stop()
+        assert seen[-1] == want, (text, seen)
+    assert len(seen) == 5
+
+
 def test_paths(spark):
     parse = lambda p: tuple(one(spark, paths.parse_path(F.col("p")), p=p))
     assert parse("/v2/a/blobs/b/manifests/v1") == ("manifest", "a/blobs/b", "v1")
