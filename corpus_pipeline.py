@@ -1,7 +1,8 @@
 """From raw documents to packed training sequences: STAGES, each one of the llm operators at its production parameters.
 
 quality    drops documents that the line-chain classifier scores under its threshold (labels from sf_dir)
-near_dedup keeps one document of each component of texts whose five-word shingles have Jaccard similarity 0.8 or more
+near_dedup keeps one document of each component of texts whose five-word shingles have Jaccard similarity 0.8 or more, by SimHash
+           with an exact check, and by exact keys for what fingerprints leave apart
 pii        replaces personal data and secrets by surrogates
 mixing     repeats and cuts documents so that each source comes to its target
 packing    cuts the documents into sequences along a Hilbert curve; its rows are the pieces, with their ids

@@ -1,6 +1,11 @@
 """Near-duplicates by exact Jaccard similarity of sets: two texts are alike if LEAST of the union of their sets is shared.
 
-The sets are those of five-word shingles unless another function makes them. Of two sets that are alike, the first
+The sets are those of five-word shingles unless another function makes them. With a distance, as in one_of_each, SimHash
+names the pairs: fingerprints of the sets, blocks, verified Hamming distance, forests (simhash.links); these pairs are
+compared in full and joined to components. Sets that are alike can have fingerprints further apart, so keys of members,
+which follow, find what this leaves apart, and pairs within a component aren't met again. Without a distance keys do all.
+
+Of two sets that are alike, the first
 n - ceil(LEAST n) + 1 members of each in any common order share one. So each set gets a key for each of these, and pairs
 that share a key and pass the bounds on sizes and places are compared in full. The order puts members that are common in a
 sample of the documents last (a passage of many texts makes no key then) and goes by hash otherwise; the result doesn't
@@ -28,12 +33,15 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quayside.llm import simhash
 from quayside.llm.common import Stored, free_shuffles, mapped, order_id, store
 from quayside.llm.components import components
 
 WIDTH, SEED = 5, 42
 #: The least similarity, as a fraction, so that bounds are whole numbers.
 LEAST = (4, 5)
+#: Bits in which the fingerprints of pairs to compare differ at most, in one_of_each.
+DISTANCE = 10
 #: Sets of one key that are compared in pairs at once.
 DENSE = 32
 #: One document in SAMPLE is looked at for common shingles; those seen COMMON times or more are ordered last, MOST of them at most.
@@ -109,24 +117,40 @@ def common_members(keyed: DataFrame, sets_of: SetsOf) -> tuple[np.ndarray, np.nd
     return sigs[order], counts[order]
 
 
-def with_keys(keyed: DataFrame, common: tuple[np.ndarray, np.ndarray], sets_of: SetsOf) -> DataFrame:
-    """ord, hash, id (of the set), n (its size) and keys, in order, of each row."""
+def with_keys(keyed: DataFrame, common: tuple[np.ndarray, np.ndarray], sets_of: SetsOf, fingerprints: bool = False) -> DataFrame:
+    """ord, hash, id (of the set), n (its size) and keys, in order, of each row; with fingerprints also fp, the set's."""
     sigs, counts = common
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, ns, keys = [], [], []
+            ids, ns, keys, fps = [], [], [], []
             for own in sets_of(batch.column(2)):
                 n = len(own)
+                if fingerprints:
+                    fps.append(simhash.of_set(own))
                 ids.append(xxhash.xxh64_intdigest(own.tobytes(), SEED))
                 ns.append(n)
                 if len(sigs):
                     at = np.minimum(np.searchsorted(sigs, own), len(sigs) - 1)
                     own = own[np.argsort(np.where(sigs[at] == own, counts[at], 0), kind="stable")]
                 keys.append(own[: n - -(-LEAST[0] * n // LEAST[1]) + 1].view(np.int64))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(np.array(ids, np.uint64).view(np.int64)), pa.array(ns, pa.int32()), pa.array(keys, pa.list_(pa.int64()))], names=["ord", "hash", "id", "n", "keys"])
+            columns = [batch.column(0), batch.column(1), pa.array(np.array(ids, np.uint64).view(np.int64)), pa.array(ns, pa.int32()), pa.array(keys, pa.list_(pa.int64()))]
+            if fingerprints:
+                columns.append(pa.array(np.array(fps, np.uint64).view(np.int64)))
+            yield pa.RecordBatch.from_arrays(columns, names=["ord", "hash", "id", "n", "keys", "fp"][: len(columns)])
+
+    return mapped(keyed.select("_ord", "_hash", "text"), run, "ord long, hash long, id long, n int, keys array<long>" + (", fp long" if fingerprints else ""))
+
 
-    return mapped(keyed.select("_ord", "_hash", "text"), run, "ord long, hash long, id long, n int, keys array<long>")
+def fingerprint_pairs(rows: DataFrame, distance: int) -> DataFrame:
+    """u, v (u > v): pairs of sets that connect what the distance of fingerprints connects. rows: the stored table of with_keys."""
+    ids = rows.select("id", "fp").distinct()
+    firsts = Stored(ids.groupBy("fp").agg(F.min("id").alias("first")))
+    edges = simhash.links(firsts.df.select("fp"), firsts.df.count(), distance).distinct()
+    a, b = (firsts.df.select(F.col("fp").alias(k), F.col("first").alias(f"first_{k}")) for k in ("u", "v"))
+    near = edges.join(a, "u").join(b, "v").select(F.greatest("first_u", "first_v").alias("u"), F.least("first_u", "first_v").alias("v"))
+    equal = ids.join(firsts.df, "fp").filter("id > first").select(F.col("id").alias("u"), F.col("first").alias("v"))
+    return near.unionByName(equal)
 
 
 def _can(na: np.ndarray, i: np.ndarray, nb: np.ndarray, j: np.ndarray) -> np.ndarray:
@@ -206,17 +230,26 @@ def size_partition(n: str) -> Column:
     return F.floor(F.log(F.col(n).cast("double")) / math.log(1.01 * LEAST[1] / LEAST[0])).cast("int")
 
 
-def links(keyed: DataFrame, rows: DataFrame, sets_of: SetsOf, by_size: bool) -> DataFrame:
-    """u, v (u > v): edges that connect what similarity connects. rows: the stored table of with_keys."""
+def links(keyed: DataFrame, rows: DataFrame, sets_of: SetsOf, by_size: bool, distance: int | None = None) -> DataFrame:
+    """u, v (u > v): edges that connect what similarity connects. rows: the stored table of with_keys, with fingerprints if
+    there is a distance: then pairs of fingerprints come first, and keys for what these leave apart."""
     sets = rows.groupBy("id").agg(F.min(F.struct("ord", "hash", "n", "keys")).alias("x"))
     firsts = rows.groupBy("id").agg(F.min(F.struct("ord", "hash")).alias("x")).select("id", "x.ord", "x.hash")
     part = size_partition("n")
-    keys = sets.select("id", "x.n", F.posexplode("x.keys").alias("place", "key"))
-    keys = keys.withColumn("part", F.explode(F.array(part, part - 1)) if by_size else F.lit(0))
-    # a group's roots are its members themselves at first
     member = lambda root: F.struct("id", "n", "place", F.col(root).alias("root"))
-    groups = Stored(keys.groupBy("key", "part").agg(F.collect_list(member("id")).alias("members")).filter(F.size("members") > 1))
+    sets = sets.select("id", "x.n", "x.keys")
+    if distance is None:
+        # a group's roots are its members themselves at first
+        near, root, apart = None, "id", F.size("members") > 1
+    else:
+        near = _linked(fingerprint_pairs(rows, distance), keyed, firsts, sets_of)
+        sets = sets.join(components(near).withColumnRenamed("node", "id"), "id", "left").withColumn("root", F.coalesce("root", "id"))
+        root, apart = "root", F.expr("exists(members, m -> m.root != members[0].root)")
+    keys = sets.select(*dict.fromkeys(["id", root, "n"]), F.posexplode("keys").alias("place", "key"))
+    keys = keys.withColumn("part", F.explode(F.array(part, part - 1)) if by_size else F.lit(0))
+    groups = Stored(keys.groupBy("key", "part").agg(F.collect_list(member(root)).alias("members")).filter(apart))
     found = _linked(_pairs(groups.df, True), keyed, firsts, sets_of)
+    found = found if near is None else near.unionByName(found)
     large = groups.df.filter(F.size("members") > DENSE)
     if not large.isEmpty():
         roots = components(found)
@@ -229,12 +262,12 @@ def links(keyed: DataFrame, rows: DataFrame, sets_of: SetsOf, by_size: bool) ->
     return found
 
 
-def classes(docs: DataFrame, sets_of: SetsOf = shingle_sets, by_size: bool = False) -> DataFrame:
+def classes(docs: DataFrame, sets_of: SetsOf = shingle_sets, by_size: bool = False, distance: int | None = None) -> DataFrame:
     """ord, hash (of the text), first: a row for each different pair of ord and hash of docs; first has the least ord and hash
-    that links reach. Stored."""
+    that links reach. Stored. With a distance, fingerprints of the sets name pairs first."""
     texts = docs.select(order_id().alias("_ord"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("_hash"), "text")
-    rows = Stored(with_keys(texts, common_members(texts, sets_of), sets_of))
-    found = components(links(texts, rows.df, sets_of, by_size)).withColumnRenamed("node", "id")
+    rows = Stored(with_keys(texts, common_members(texts, sets_of), sets_of, distance is not None))
+    found = components(links(texts, rows.df, sets_of, by_size, distance)).withColumnRenamed("node", "id")
     rooted = rows.df.select("id", "ord", "hash").distinct().join(found, "id", "left").withColumn("root", F.coalesce("root", "id"))
     first = rooted.groupBy("root").agg(F.min(F.struct("ord", "hash")).alias("first"))
     out = store(rooted.join(first, "root").select("ord", "hash", "first"))
@@ -242,9 +275,9 @@ def classes(docs: DataFrame, sets_of: SetsOf = shingle_sets, by_size: bool = Fal
     return out
 
 
-def one_of_each(docs: DataFrame) -> DataFrame:
-    """docs without near-duplicates: of each component the row with the least id stays, of equal ids that with the least hash
+def one_of_each(docs: DataFrame, distance: int = DISTANCE) -> DataFrame:
+    """docs without near-duplicates, by SimHash and an exact check, and by keys for the rest: of each component the row with the least id stays, of equal ids that with the least hash
     of its text, of repeated rows any one."""
-    best = classes(docs).select("first").distinct().select(F.col("first.ord").alias("ord"), F.col("first.hash").alias("hash"))
+    best = classes(docs, distance=distance).select("first").distinct().select(F.col("first.ord").alias("ord"), F.col("first.hash").alias("hash"))
     whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), order_id().alias("ord"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("hash"))
     return whole.join(best, ["ord", "hash"]).dropDuplicates(["ord", "hash"]).select("row.*")

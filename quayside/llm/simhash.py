@@ -10,6 +10,10 @@ numpy; of larger ones every fingerprint is spread over all points at distance ce
 stay), where two at distance d or less meet at a point between them, and a minimum per point links them: a number of
 rows in proportion to the fingerprints, however many share the key.
 
+Distances over POINTS have too many such points, and keys of few bits. There k is the one by which rows and comparisons
+cost the least, and a key with over WIDE fingerprints is cut into parts whose pairs are compared each by itself, in any
+task: all of its pairs meet, but their number is that of pairs.
+
 Nulls: a null text has no words and fingerprint zero, like an empty one. A null id stands after all others; a
 component of null ids only has a null id. Repeated rows share a fingerprint. An empty table gives an empty result.
 """
@@ -18,6 +22,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from itertools import combinations
+from math import comb
 
 import numpy as np
 import pyarrow as pa
@@ -31,6 +36,10 @@ from quayside.llm.components import components
 SEED = 42
 #: Fingerprints of one key that are compared directly at most.
 DENSE = 4096
+#: The greatest distance at which points link large keys; beyond it, the fingerprints of one key that are compared at once.
+POINTS, WIDE = 4, 1 << 14
+#: Comparisons that cost what it costs to bring a fingerprint to a key.
+_ROW = 1000
 _STEP = 1 << 15
 
 
@@ -55,6 +64,14 @@ def simhash(text: bytes, shingle: int = 4, seed: int = SEED) -> int:
     return int(np.packbits(2 * counts > total, bitorder="little").view(np.uint64)[0])
 
 
+def of_set(hashes: np.ndarray) -> int:
+    """The fingerprint of a set of hashes, each of which counts once: as simhash, but for shingles that are repeated."""
+    counts = np.zeros(64, np.int64)
+    for at in range(0, len(hashes), _STEP):
+        counts += np.unpackbits(hashes[at : at + _STEP].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return int(np.packbits(2 * counts > len(hashes), bitorder="little").view(np.uint64)[0])
+
+
 def with_fingerprint(docs: DataFrame, keep: list[str]) -> DataFrame:
     """The columns keep of docs and fp, the fingerprint's bits as a signed long."""
 
@@ -79,10 +96,13 @@ def id_of(ord_: str) -> Column:
 
 
 def block_masks(n: int, distance: int) -> list[int]:
-    """The masks of all choices of k - distance blocks; k is the least with keys of 3 bits more than n has."""
+    """The masks of all choices of k - distance blocks; k is the least with keys of 3 bits more than n has, beyond POINTS
+    the one that costs the least."""
     for k in range(distance + 1, 17):
         if k == 16 or 64 * (k - distance) / k >= n.bit_length() + 3:
             break
+    if distance > POINTS:
+        k = min(range(distance + 1, max(17, distance + 3)), key=lambda k: comb(k, distance) * (_ROW + n / 2 ** (64 * (k - distance) // k + 1)))
     edges = [64 * i // k for i in range(k + 1)]
     blocks = [((1 << (b - a)) - 1) << a for a, b in zip(edges, edges[1:])]
     return [sum(c) for c in combinations(blocks, k - distance)]
@@ -118,8 +138,9 @@ def links(fps: DataFrame, n: int, distance: int = 4) -> DataFrame:
     spark = fps.sparkSession
     masks = block_masks(n, distance)
     keys = fps.select("fp", F.explode(F.array(*[F.struct(F.lit(i).alias("choice"), F.col("fp").bitwiseAND(F.lit(_signed(m))).alias("key")) for i, m in enumerate(masks)])).alias("k")).select("fp", "k.choice", "k.key")
-    dense = Stored(keys.groupBy("choice", "key").count().filter(F.col("count") > DENSE).select("choice", "key"))
-    sparse = keys.join(dense.df, ["choice", "key"], "left_anti").groupBy("choice", "key").agg(F.collect_list("fp").alias("fps")).filter(F.size("fps") > 1).select("fps")
+    most, told = (DENSE, []) if distance <= POINTS else (WIDE, ["count"])
+    dense = Stored(keys.groupBy("choice", "key").count().filter(F.col("count") > most).select("choice", "key", *told))
+    sparse = keys.join(dense.df.select("choice", "key"), ["choice", "key"], "left_anti").groupBy("choice", "key").agg(F.collect_list("fp").alias("fps")).filter(F.size("fps") > 1).select("fps")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -141,10 +162,19 @@ def links(fps: DataFrame, n: int, distance: int = 4) -> DataFrame:
 
     out = mapped(sparse, compare, "u long, v long")
     if not dense.df.isEmpty():
-        out = out.unionByName(_dense_links(keys.join(dense.df, ["choice", "key"]), masks, distance))
+        members = keys.join(dense.df, ["choice", "key"])
+        out = out.unionByName(_dense_links(members, masks, distance) if distance <= POINTS else mapped(_parts(members), compare, "u long, v long"))
     return out
 
 
+def _parts(members: DataFrame) -> DataFrame:
+    """fps: for every two parts of a key, of about WIDE / 2 fingerprints each, those of both."""
+    n = F.ceil(F.col("count") / F.lit(max(WIDE // 2, 1)))
+    dealt = members.withColumn("own", F.pmod(F.xxhash64("fp"), n)).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), n - 1)))
+    both = dealt.groupBy("choice", "key", F.least("own", "other").alias("a"), F.greatest("own", "other").alias("b"))
+    return both.agg(F.collect_list("fp").alias("fps")).filter(F.size("fps") > 1).select("fps")
+
+
 def _dense_links(members: DataFrame, masks: list[int], distance: int) -> DataFrame:
     half = -(-distance // 2)
 

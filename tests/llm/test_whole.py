@@ -2,8 +2,10 @@
 
 from pathlib import Path
 
+import numpy as np
 import pyarrow as pa
 import pytest
+import xxhash
 
 from quayside.llm import audio, nearsets, pii
 from quayside.llm.common import store
@@ -83,3 +85,65 @@ def test_audio_query_stores_tensors(spark, odd, empty, monkeypatch, tmp_path):
         patches += kept.num_rows
     assert patches == sum(len(r["tensors"]) for r in audio.stored(odd, tensors=True).collect())
     assert audio.read_back(audio.files(empty)).count() == 0
+
+
+def brute_fingerprint(text):
+    """SimHash of the distinct five-word shingles."""
+    w = (text or "").encode().lower().split()
+    h = {xxhash.xxh64_intdigest(b" ".join(w[i : i + 5]), 42) for i in range(max(1, len(w) - 4))} if w else set()
+    return sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(h))
+
+
+def test_near_dedup_stage_is_by_simhash(spark, corpus, monkeypatch):
+    import corpus_pipeline
+    from quayside.llm import simhash
+
+    given, links, pairs = [], simhash.links, nearsets._pairs
+    monkeypatch.setattr(simhash, "links", lambda fps, n, distance=4: given.append((fps, distance)) or links(fps, n, distance))
+    monkeypatch.setattr(nearsets, "_pairs", lambda groups, stars: pairs(groups, stars).limit(0))  # what keys add is left out
+    texts = {r["doc_id"]: r["text"] for r in corpus.collect()}
+    kept = {r["doc_id"] for r in dict(corpus_pipeline.STAGES)["near_dedup"](spark, corpus, SF).collect()}
+    (fps, distance), = given
+    fp = {i: brute_fingerprint(t) for i, t in texts.items()}
+    assert {r["fp"] & (1 << 64) - 1 for r in fps.collect()} == set(fp.values())
+    firsts = set(brute_firsts([r.asDict() for r in corpus.collect()]))
+    assert firsts <= kept
+    # most of what is alike but not equal is found by fingerprints alone, and nothing that isn't
+    equal = {min(i for i in fp if fp[i] == x) for x in set(fp.values())}
+    assert len(kept - firsts) < 0.5 * len(equal - firsts)
+    # of two texts that are alike and whose fingerprints are near, with no third one in reach, one goes
+    near = {i: [j for j in fp if j != i and (fp[i] ^ fp[j]).bit_count() <= distance] for i in fp}
+    lone = [(i, js[0]) for i, js in near.items() if len(js) == 1 and near[js[0]] == [i] and len(brute_firsts([{"doc_id": x, "text": texts[x]} for x in (i, js[0])])) == 1]
+    assert lone and not any({i, j} <= kept for i, j in lone)
+
+
+@pytest.mark.parametrize("wide", [1 << 14, 3])
+def test_wide_links_lose_nothing(spark, monkeypatch, wide):
+    from quayside.llm import simhash
+
+    monkeypatch.setattr(simhash, "WIDE", wide)
+    rng = np.random.default_rng(3)
+    centers = rng.integers(0, 1 << 63, 30, dtype=np.uint64)
+    fps = sorted({int(c) ^ sum(1 << int(b) for b in rng.choice(64, rng.integers(0, 15), replace=False)) for c in centers for _ in range(8)})
+    signed = [x - (1 << 64) if x >> 63 else x for x in fps]
+    edges = simhash.links(spark.createDataFrame([(x,) for x in signed], "fp long"), len(fps), 10).distinct().collect()
+    assert all(((r["u"] ^ r["v"]) & (1 << 64) - 1).bit_count() <= 10 for r in edges)
+
+    def roots(links):
+        root = {x: x for x in signed}
+
+        def find(x):
+            while root[x] != x:
+                x = root[x]
+            return x
+
+        for a, b in links:
+            a, b = find(a), find(b)
+            root[max(a, b)] = min(a, b)
+        return {x: find(x) for x in signed}
+
+    brute = [(a, b) for i, a in enumerate(signed) for b in signed[:i] if ((a ^ b) & (1 << 64) - 1).bit_count() <= 10]
+    assert roots((r["u"], r["v"]) for r in edges) == roots(brute)
+    for n in (10, 1 << 18, 1 << 24):
+        masks = simhash.block_masks(n, 10)
+        assert all(any(not x & m for m in masks) for x in (sum(1 << int(b) for b in rng.choice(64, 10, replace=False)) for _ in range(50)))
