@@ -207,13 +207,14 @@ def curve_keys(ids: list[np.ndarray], seed: int = 7) -> np.ndarray:
     return hilbert(np.minimum((unit * (1 << BITS)).astype(np.int64), (1 << BITS) - 1), BITS)
 
 
-def tokenized(docs: DataFrame, path: str) -> DataFrame:
-    """doc_id, ord, key, ids (raw bytes), kind's width: written once."""
+def tokenized(docs: DataFrame, path: str, at_once: int = 4 << 20) -> DataFrame:
+    """doc_id, ord, key, ids (raw bytes), kind's width: written once. at_once: bytes of text that are encoded together, which
+    takes more memory and less time the more they are."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tok = tokenizer(path)
         for whole in batches:
-            for a, b in text_slices(whole.column(2), 4 << 20):
+            for a, b in text_slices(whole.column(2), at_once):
                 batch = whole.slice(a, b - a)
                 ids = tok.encode(batch.column(2))
                 keys, raw = curve_keys(ids), [x.tobytes() for x in ids]
@@ -227,9 +228,9 @@ def _powers_of_two(n: int) -> list[int]:
     return [1 << b for b in range(n.bit_length() - 1, -1, -1) if n >> b & 1]
 
 
-def pack(docs: DataFrame, path: str, length: int = 2048, end_id: int = 1, with_ids: bool = False) -> DataFrame:
+def pack(docs: DataFrame, path: str, length: int = 2048, end_id: int = 1, with_ids: bool = False, at_once: int = 4 << 20) -> DataFrame:
     """A row a piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, and ids if asked for."""
-    rows = store(tokenized(docs, path))
+    rows = store(tokenized(docs, path, at_once))
     total = rows.agg(F.coalesce(F.sum(F.length("ids")), F.lit(0))).first()[0]
     n = partitions_for(docs.sparkSession, total, 32 << 20)
     names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"] + ["ids"] * with_ids
